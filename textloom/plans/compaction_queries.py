@@ -31,7 +31,7 @@ QUERIES = {"p4_found": p4_found, "p4_lines": p4_lines, "p4_plan": p4_plan}
 
 _FILES = r"""
     select bucket, p as path, size from (
-        select bucket, size, listed_at, array_to_string(list_filter(string_split(regexp_replace(path, '^s3://[^/]*/?', ''), '/'), x -> x <> '' and x <> '.'), '/') as p
+        select bucket, size, listed_at, array_to_string(list_filter(string_split(regexp_replace(path, '^s3://[^/]*/?', ''), '/'), lambda x: x <> '' and x <> '.'), '/') as p
         from path_infos where not dir and size is not null and path is not null)
     where p <> '' qualify row_number() over (partition by bucket, p order by listed_at desc, size desc) = 1
 """
