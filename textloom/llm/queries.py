@@ -95,15 +95,15 @@ SQL: dict[str, str] = {
         ), jobs as (
             select n.job_id, n.context_size, n.boundary_begin, min(v.token) as token
             from newest n left join vocab v on v.piece = n.b group by all
-        ), cuts as (
+        ), cut as (
             select distinct t.text_id, j.context_size,
                 list_concat([0::bigint], list_filter(list_transform(list_filter(range(1, len(t.tokens) + 1), lambda i: t.tokens[i] = j.token),
-                    lambda i: case when j.boundary_begin then i - 1 else i end), lambda c: c > 0 and c < len(t.tokens)), [len(t.tokens)]) as at
+                    lambda i: case when j.boundary_begin then i - 1 else i end), lambda c: c > 0 and c < len(t.tokens)), [len(t.tokens)]) as cuts
             from token_docs t join jobs j using (job_id)
             where t.tokens is not null and len(t.tokens) > j.context_size
         )
-        select text_id, case when list_max(list_transform(range(2, len(at) + 1), lambda k: at[k] - at[k - 1])) <= context_size
+        select text_id, case when list_max(list_transform(range(2, len(cuts) + 1), lambda k: cuts[k] - cuts[k - 1])) <= context_size
             then 'at_boundary' else 'forced' end as kind
-        from cuts
+        from cut
     """,
 }
