@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from textloom.functions.text import ColumnLike, col
 
@@ -20,9 +25,26 @@ def to_hex(tokens: ColumnLike, wide: bool = False) -> Column:
     return F.array_join(F.transform(col(tokens), one), "")
 
 
+def _arrow(one, kind: pa.DataType, returns: str):
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            yield pa.array([None if x is None else one(x) for x in part.to_pylist()], kind)
+
+    run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return arrow_udf(run, returns)
+
+
 def to_binary(tokens: ColumnLike, wide: bool = False) -> Column:
-    """A token sequence as bytes."""
-    return F.unhex(to_hex(tokens, wide))
+    """A token sequence as bytes; an id too large for the width is an error. Long sequences take linear time."""
+    most, kind = (0xFFFFFFFF, "<u4") if wide else (0xFFFF, "<u2")
+
+    def one(t: list) -> bytes:
+        a = np.asarray(t, np.int64)
+        if len(a) and (a.min() < 0 or a.max() > most):
+            raise ValueError(f"a token does not fit into {8 * int(kind[2])} bits")
+        return a.astype(kind).tobytes()
+
+    return _arrow(one, pa.binary(), "binary")(col(tokens))
 
 
 def to_binary_for(tokens: ColumnLike, vocab_size: int, force_wide: bool = False) -> Column:
@@ -32,12 +54,5 @@ def to_binary_for(tokens: ColumnLike, vocab_size: int, force_wide: bool = False)
 
 def from_binary(data: ColumnLike, wide: bool = False) -> Column:
     """Tokens of little-endian bytes; bytes at the end that make no whole token are left out."""
-    digits = 8 if wide else 4
-    raw = F.hex(col(data))
-    n = F.floor(F.octet_length(col(data)) * 2 / digits).cast("int")
-
-    def one(i: Column) -> Column:
-        parts = [F.substr(raw, (i - 1) * digits + k, F.lit(2)) for k in range(digits - 1, 0, -2)]
-        return F.conv(F.concat(*parts), 16, 10).cast("bigint")
-
-    return F.when(col(data).isNull(), None).when(n > 0, F.transform(F.sequence(F.lit(1), n), one)).otherwise(F.array().cast("array<bigint>"))
+    width = 4 if wide else 2
+    return _arrow(lambda b: np.frombuffer(b[: len(b) - len(b) % width], f"<u{width}").astype(np.int64), pa.list_(pa.int64()), "array<bigint>")(col(data))

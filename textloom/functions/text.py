@@ -19,6 +19,10 @@ REPAIRED_CHARACTERS = "€‚ƒ„…‡ˆ‰‹ŒŽ‘’“•–—˜™š›
 SPACE = r"\t\n\f\r "
 
 
+#: All characters that count as space around a line or word.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -44,7 +48,7 @@ def clean_controls(text: ColumnLike) -> Column:
 def squeeze_lines(text: ColumnLike) -> Column:
     """Second stage: each line with single spaces inside and none around."""
     lines = F.split(col(text), "\n")
-    return F.array_join(F.transform(lines, lambda s: F.btrim(F.regexp_replace(s, r"[\t-\r ]+", " "), F.lit("                  　\u0085"))), "\n")
+    return F.array_join(F.transform(lines, lambda s: F.btrim(F.regexp_replace(s, r"[\t-\r ]+", " "), F.lit(SPACES))), "\n")
 
 
 def sanitize(text: ColumnLike) -> Column:
@@ -83,7 +87,7 @@ def lower_case(text: ColumnLike) -> Column:
 
 def trim_words(words: ColumnLike) -> Column:
     """Words without the space around them, empty ones dropped: vocabularies without a leading space."""
-    trimmed = F.transform(col(words), lambda w: F.btrim(w, F.lit(" \t\n\x0b\f\r  ")))
+    trimmed = F.transform(col(words), lambda w: F.btrim(w, F.lit(SPACES)))
     return F.filter(trimmed, lambda w: w != "")
 
 

@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import compaction_queries
+from textloom.plans import compaction_queries, text_queries, token_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**compaction_queries.QUERIES}
+    return {**text_queries.QUERIES, **token_queries.QUERIES, **compaction_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**compaction_queries.SQL}
+    return {**text_queries.SQL, **token_queries.sql_queries(), **compaction_queries.SQL}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return compaction_queries.p4_plan(spark, d)
+    return token_queries.flagship(spark, d)
