@@ -358,13 +358,13 @@ def sql_queries() -> dict[str, str]:
         "document_index": f'select (text_id % 8)::int as shard, path, (coalesce(sum(len(tokens)) over (partition by text_id % 8 order by text_id rows between unbounded preceding and 1 preceding), 0))::bigint as "offset", len(tokens) as tokens from {texts}',
         "pack_fixed": fixed,
         "pack_boundary": f"""
-            with recursive dot as (select min(token) as b from vocab where piece = '.'), pad as (select min(token) as p from vocab where piece = '<|padding|>'),
+            with recursive dot as (select min(token) as d from vocab where piece = '.'), pad as (select min(token) as p from vocab where piece = '<|padding|>'),
             s as (select (text_id % 8)::int as shard, flatten(list(tokens order by text_id)) as t from {texts} group by all),
-            at as (select shard, t, len(t) as n, list_filter(range(0, len(t)), lambda k: t[k + 1] = (select b from dot)) as b from s),
-            r(shard, context_no, start) as (select shard, 0::bigint, 0::bigint from at union all
-                select r.shard, context_no + 1, coalesce(list_max(list_filter(b, lambda x: x > start and x < start + 512)) + 1, start + 512) from r join at using (shard) where n - start > 512)
+            stream as (select shard, t, len(t) as n, list_filter(range(0, len(t)), lambda k: t[k + 1] = dot.d) as b from s, dot),
+            r(shard, context_no, start) as (select shard, 0::bigint, 0::bigint from stream union all
+                select r.shard, context_no + 1, coalesce(list_max(list_filter(b, lambda x: x > start and x < start + 512)) + 1, start + 512) from r join stream using (shard) where n - start > 512)
             select shard, context_no, (512 - len(c))::int as n_pad, array_to_string(list_resize(c, 512, p), ' ') as tokens
-            from (select shard, context_no, list_slice(t, start + 1, start + 512) as c from r join at using (shard)), pad""",
+            from (select shard, context_no, list_slice(t, start + 1, start + 512) as c from r join stream using (shard)), pad""",
         "context_index": f'select shard, context_no, context_no * 512 as "offset", 512::bigint as tokens from ({grid})',
         "sample_80": f"select shard, context_no from ({grid}) where context_no % 5 < 4",
         "sample_50": f"select shard, context_no from ({grid}) where context_no % 2 < 1",

@@ -92,11 +92,11 @@ def read_texts(spark: SparkSession, where: str, clean: bool = False, sort_spec:
     no text, are skipped but count. ``rank`` orders the documents by the sort specification over files.
     """
     files = list_texts(spark, where)
-    whole = spark.read.option("recursiveFileLookup", True).option("wholetext", True)
+    whole = spark.read.format("text").option("recursiveFileLookup", True).option("wholetext", True)
     plain = None
     if not where.endswith(".jsonl"):
         glob = "*" if where.endswith(SUFFIXES) else "*{.txt,.md}"
-        plain = whole.option("pathGlobFilter", glob).text(where).select(F.col("_metadata.file_path").alias("path"), F.lit(None).cast("bigint").alias("line_no"), F.col("value").alias("text"))
+        plain = whole.option("pathGlobFilter", glob).load(where).select(F.col("_metadata.file_path").alias("path"), F.lit(None).cast("bigint").alias("line_no"), F.col("value").alias("text"))
     if not where.endswith((".txt", ".md")):
         lines = numbered_lines(spark, where)
         texts = lines.withColumn("texts", json_texts("line")).where("size(texts) > 0")
@@ -133,7 +133,7 @@ def object_texts(spark: SparkSession, where: str, prefix: str = "", clean: bool
     can't be read are skipped.
     """
     held = spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
-    plain = held.option("wholetext", True).option("pathGlobFilter", "*.txt").text(where).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    plain = held.format("text").option("wholetext", True).option("pathGlobFilter", "*.txt").load(where).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     lines = numbered_lines(spark, where).withColumn("text", F.get_json_object("line", "$.text")).where("text is not null")
     joined = lines.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x.text), " ").alias("text"))
     out = plain.unionByName(joined)

@@ -30,8 +30,8 @@ def pack_stream(stream: DataFrame, spec: TokenizerSpec, pack: PackSpec, order: s
     """(shard, context_no, tokens, n_pad) from a stream of (shard, ``order``, tokens).
 
     The state of a shard is the tokens of its unfinished context and a counter. Documents of one batch
-    are packed in their order, batches as they come. Sequences still open after an hour without input
-    are padded and emitted.
+    are packed in their order, batches as they come. A row with null tokens ends its shard's stream: the
+    unfinished context is padded and emitted.
     """
     size = pack.context_size
     pad = spec.single_token(pack.pad) if pack.pad else spec.pad_token
@@ -40,20 +40,14 @@ def pack_stream(stream: DataFrame, spec: TokenizerSpec, pack: PackSpec, order: s
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, number = state.get if state.exists else ([], 0)
         packer = Packer(size, boundary, pack.boundary_begin, pack.boundary_overlap)
-        packer.held = list(held)
+        packer.held = [int(t) for t in held]
         rows = []
-        if state.hasTimedOut:
-            done = packer.finish()
-            state.remove()
-        else:
-            docs = sorted((r for p in parts for r in zip(p[order], p["tokens"], strict=True)), key=lambda r: r[0])
-            done = (c for _, tokens in docs for c in packer.feed([] if tokens is None else list(tokens)))
-        for c in done:
-            rows.append((key[0], number, c + [pad] * (size - len(c)), size - len(c)))
-            number += 1
-        if not state.hasTimedOut:
-            state.update((packer.held, number))
-            state.setTimeoutDuration(3_600_000)
+        docs = sorted((r for p in parts for r in zip(p[order], p["tokens"], strict=True)), key=lambda r: r[0])
+        for _, tokens in docs:
+            for c in packer.finish() if tokens is None else packer.feed([int(t) for t in tokens]):
+                rows.append((int(key[0]), int(number), c + [pad] * (size - len(c)), size - len(c)))
+                number += 1
+        state.update((packer.held, int(number)))
         yield pd.DataFrame(rows, columns=["shard", "context_no", "tokens", "n_pad"])
 
-    return stream.groupBy("shard").applyInPandasWithState(run, "shard int, context_no bigint, tokens array<bigint>, n_pad int", "held array<bigint>, number bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("shard").applyInPandasWithState(run, "shard int, context_no bigint, tokens array<bigint>, n_pad int", "held array<bigint>, number bigint", "append", GroupStateTimeout.NoTimeout)
