@@ -27,10 +27,10 @@ from textloom.util import clashless
 SHINGLE = 3
 #: Partitions of the items by their number of shingles: (up to, hashes kept of an item, hashes that make a candidate).
 PARTITIONS = ((16, 16, 1), (32, 32, 2), (64, 48, 3), (128, 64, 4), (1 << 62, 96, 6))
-#: Least share of an item's words, least words of a passage, and words that may be changed or left out between two shingles.
-SHARE, PASSAGE_WORDS, GAP = 0.5, 5, 4
+#: Least share of an item's words (half, less what changed words cut off at the ends of passages), least words of a passage, and words that may be changed or left out between two shingles.
+SHARE, PASSAGE_WORDS, GAP = 0.45, 5, 4
 #: Share of the distinctive words (names, numbers) of the passages found that must match.
-DISTINCTIVE = 0.5
+DISTINCTIVE = 0.45
 #: Items searched at once; more are taken in blocks.
 BLOCK_ITEMS = 20_000
 
@@ -115,7 +115,7 @@ class LeakIndex:
     def contained(self, k: int, places: list[tuple[int, int]], w: np.ndarray) -> float:
         """Share of an item's words that stand in running passages of a document."""
         at, item = self.positions[k], self.words[k]
-        chains: list[list] = []  # first and last item position, last document position, matched positions
+        chains: list[list] = []  # first and last item position, last document position, matched positions, first document position
         for q, c in places:
             for p in at.get(c, ()):
                 best = None
@@ -125,15 +125,18 @@ class LeakIndex:
                         best = chain
                         break
                 if best is None:
-                    chains.append([p, p, q, {p, p + 1, p + 2}])
+                    chains.append([p, p, q, {p, p + 1, p + 2}, q])
                 else:
                     best[1], best[2] = p, q
                     best[3].update((p, p + 1, p + 2))
         covered: set[int] = set()
         matched: set[int] = set()
-        for first, last, _q, hit in chains:
-            if last + SHINGLE - first >= PASSAGE_WORDS:
-                covered.update(range(first, last + SHINGLE))
+        for chain in chains:
+            first, last, q, hit = chain[:4]
+            before = extended(item, w, first, chain[4], -1, hit)
+            behind = extended(item, w, last + SHINGLE - 1, q + SHINGLE - 1, 1, hit)
+            if behind + 1 - before >= PASSAGE_WORDS:
+                covered.update(range(before, behind + 1))
                 matched |= hit
         if not covered:
             return 0.0
@@ -143,6 +146,20 @@ class LeakIndex:
         return len(covered) / len(item)
 
 
+def extended(item: np.ndarray, doc: np.ndarray, p: int, q: int, way: int, matched: set[int]) -> int:
+    """Where a passage ends in the item if it goes on, word by word, past changed, left out or added single words."""
+    m, n = len(item), len(doc)
+    while True:
+        for dp, dq in ((1, 1), (2, 2), (2, 1), (1, 2)):
+            a, b = p + way * dp, q + way * dq
+            if 0 <= a < m and 0 <= b < n and item[a] == doc[b]:
+                p, q = a, b
+                matched.add(p)
+                break
+        else:
+            return p
+
+
 FOUND = "doc_id bigint, eval_id bigint, share double"
 
 
