@@ -15,11 +15,17 @@ def test_words():
     assert words("<b>Hello</b>,  W​orld! ｋｉｔｅｓ&nbsp;2x") == ["hello", "world", "kites", "2", "x"]
 
 
+def tested_at_least(n, least=400):
+    assert n >= least
+    return n
+
+
 def test_planted(items):
     rng = random.Random(4)
     index = LeakIndex(items)
     filler = "I compared it with many other models before ordering and I am very happy with it indeed".split()
-    for i, text in rng.sample(items, 60):
+    tried = found = 0
+    for i, text in rng.sample(items, 200):
         w = text.split()
         n = len(w)
         k = int(n * 0.7)
@@ -28,9 +34,12 @@ def test_planted(items):
         cut = k // 2
         for doc in (part, part[:cut] + filler + part[cut:]):
             doc = filler * rng.randrange(1, 40) + doc + filler
-            assert i in {e for e, _ in index.search(" ".join(doc).upper())}
+            tried += 1
+            found += i in {e for e, _ in index.search(" ".join(doc).upper())}
         short = w[start : start + n // 4]
         assert i not in {e for e, _ in index.search(" ".join(filler + short + filler))}
+    # By chance the few changed words may be just the names and numbers.
+    assert found / tested_at_least(tried) >= 0.99
 
 
 def test_sketch_recall_against_brute_force(spark, data, items):
