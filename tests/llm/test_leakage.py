@@ -15,11 +15,6 @@ def test_words():
     assert words("<b>Hello</b>,  W​orld! ｋｉｔｅｓ&nbsp;2x") == ["hello", "world", "kites", "2", "x"]
 
 
-def tested_at_least(n, least=400):
-    assert n >= least
-    return n
-
-
 def test_planted(items):
     rng = random.Random(4)
     index = LeakIndex(items)
@@ -39,7 +34,7 @@ def test_planted(items):
         short = w[start : start + n // 4]
         assert i not in {e for e, _ in index.search(" ".join(filler + short + filler))}
     # By chance the few changed words may be just the names and numbers.
-    assert found / tested_at_least(tried) >= 0.99
+    assert tried == 400 and found / tried >= 0.99
 
 
 def test_sketch_recall_against_brute_force(spark, data, items):
