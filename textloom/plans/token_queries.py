@@ -20,7 +20,7 @@ from textloom.operators.tokenizer import TOKENIZERS, TokenizerSpec, decode, enco
 from textloom.plans.text_queries import SQL_WORDS, quoted, sql_bytes
 from textloom.sources.token_files import TokenFiles
 from textloom.streaming.encoding import encode_stream
-from textloom.util import scratch_path, shared_dir, table
+from textloom.util import scratch_path, shared_dir, spread, table
 
 #: Merges of the small vocabulary.
 MINI_MERGES = 200
@@ -50,7 +50,7 @@ def joined(tokens: str | Column) -> Column:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null")
+    return spread(table(spark, d, "documents").where("text is not null").select("doc_id", "lang", "source", "text"))
 
 
 def _token_docs(spark: SparkSession, d: str) -> DataFrame:

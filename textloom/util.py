@@ -9,6 +9,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_WRITTEN: list[str] = []
+
 #: Rows up to which a side of known small width may be broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -38,8 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder. What is written there stays until drop_scratch, as results read it lazily."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -63,3 +67,22 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 def clashless(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Keeps exactly ``columns``, so further columns of a caller's table can't clash with those an operator adds."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a scan to all cores if it has fewer partitions than half of them.
+
+    Python stages are bound by the CPU, and a small compressed file is one partition. A large input has
+    many splits and is left alone, so this shuffle never grows with the data. Meant for scans with
+    filters and projections, whose number of partitions is known without running anything.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.rdd().getNumPartitions() <= cores else df
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes what the operators of this session wrote to the shared folder; results not yet consumed can't be read afterwards."""
+    for path in _WRITTEN:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.clear()
