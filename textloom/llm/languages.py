@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.packing import TOKENIZERS
-from textloom.util import clashless
+from textloom.util import clashless, spread
 
 #: The languages and the spellings of their labels, without region and in lower case.
 LANGUAGES = {
@@ -225,7 +225,7 @@ def language_stretches(docs: DataFrame, samples: DataFrame, tokenizers: str = TO
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     given = clashless(docs, ["doc_id", "lang", "text"]).where("doc_id is not null and text <> ''")
-    return given.mapInArrow(run, STRETCHES)
+    return spread(given).mapInArrow(run, STRETCHES)
 
 
 def label_code(label: str | Column) -> Column:

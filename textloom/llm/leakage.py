@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.lookalikes import look
-from textloom.util import clashless
+from textloom.util import clashless, spread
 
 #: Words of a shingle. An eighth of the words may be changed, which leaves two thirds of such shingles whole.
 SHINGLE = 3
@@ -185,6 +185,6 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 columns = list(zip(*out, strict=True)) or [[]] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["doc_id", "eval_id", "share"])
 
-        found = held.mapInArrow(search, FOUND)
+        found = spread(held).mapInArrow(search, FOUND)
         result = found if result is None else result.unionByName(found)
     return result.groupBy("doc_id", "eval_id").agg(F.max("share").alias("share"))

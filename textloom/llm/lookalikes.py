@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.util import materialize
+from textloom.util import materialize, spread
 
 #: Letters of other alphabets and the Latin letters of the same shape.
 LOOKALIKES = {
@@ -195,7 +195,7 @@ def lookalike_pairs(values: DataFrame, vocab: DataFrame) -> DataFrame:
     of all rows, costs one row here.
     """
     given = values.where("kind is not null and id is not null and value is not null").select("kind", "id", "value")
-    forms = canonical_form(given, F.col("value"), vocab)
+    forms = canonical_form(spread(given), F.col("value"), vocab)
     two = lambda c: F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit("second"), c).alias("b"))
     held = materialize(forms.select("kind", "id", two("canonical").alias("look"), two("value").alias("raw")), "looks")
     variants = held.select("kind", "look", "raw").distinct()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.util import clashless, materialize
+from textloom.util import clashless, materialize, spread
 
 #: Folder of public tokenizer files; a parameter of every operator that counts tokens.
 TOKENIZERS = os.environ.get("TEXTLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -52,7 +52,7 @@ def token_counts(docs: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     held = clashless(docs, ["doc_id", "text"]).where("doc_id is not null and text <> ''")
-    return held.mapInArrow(count, "doc_id bigint, n_tokens bigint").groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
+    return spread(held).mapInArrow(count, "doc_id bigint, n_tokens bigint").groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 class Bins:
