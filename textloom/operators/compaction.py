@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.sources.parquet_blocks import BlockFile, read_footer
-from textloom.util import clashless, materialize, scratch_path
+from textloom.util import clashless, materialize, scratch_path, small_side
 
 #: Files of fewer bytes than this are small.
 SMALL_BYTES = 65_536
@@ -61,9 +61,9 @@ def plan_containers(files: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
     and no window ever spans it. A container exceeds the target by less than its last file, and at most
     one container of a group stays underfilled.
     """
-    total = files.groupBy("bucket").agg(F.sum("size").alias("bucket_bytes"))
-    total = total.withColumn("groups", F.greatest(F.lit(1), F.ceil(F.col("bucket_bytes") / (target * GROUP_CONTAINERS))))
-    joined = files.join(F.broadcast(total) if total.limit(10_001).count() <= 10_000 else total, files.bucket.eqNullSafe(total.bucket)).drop(total.bucket)
+    total = files.groupBy(F.col("bucket").alias("of_bucket")).agg(F.sum("size").alias("bucket_bytes"))
+    total = small_side(total.withColumn("groups", F.greatest(F.lit(1), F.ceil(F.col("bucket_bytes") / (target * GROUP_CONTAINERS)))))
+    joined = files.join(total, F.col("bucket").eqNullSafe(F.col("of_bucket"))).drop("of_bucket")
     grouped = joined.withColumn("group", F.pmod(F.xxhash64("path"), "groups"))
     before = F.sum("size").over(Window.partitionBy("bucket", "group").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     name = F.format_string("%s-%05d-%05d", F.coalesce("bucket", F.lit("")), F.col("group"), F.floor(before / target))

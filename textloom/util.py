@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 _WRITTEN: list[str] = []
 
 #: Rows up to which a side of known small width may be broadcast.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +59,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks ``df`` for broadcast if it proves to hold at most ``max_rows`` rows; else leaves it to a shuffled join."""
-    held = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if held <= max_rows else df
+    """Marks ``df`` for broadcast if it proves to hold at most ``max_rows`` rows; else leaves it to a shuffled join.
+
+    The rows that prove it are kept, so that ``df`` is not computed again.
+    """
+    held = df.limit(max_rows + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(held, df.schema)) if held.num_rows <= max_rows else df
 
 
 def clashless(df: DataFrame, columns: Iterable[str]) -> DataFrame:
