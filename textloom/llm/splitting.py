@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.util import clashless, small_side
+from textloom.util import clashless, small_side, spread
 
 #: Tokens handled at once in a Python worker; longer single texts make a batch of their own.
 BATCH_TOKENS = 1_000_000
@@ -159,7 +159,7 @@ def current_jobs(jobs: DataFrame, vocab: DataFrame) -> DataFrame:
 def with_settings(docs: DataFrame, jobs: DataFrame, vocab: DataFrame) -> DataFrame:
     """Texts joined to their job's settings; rows with null tokens, or a job that is null or unknown, are dropped."""
     held = clashless(docs, ["text_id", "job_id", "tokens"]).where("tokens is not null and job_id is not null")
-    return held.join(small_side(current_jobs(jobs, vocab)), "job_id")
+    return spread(held).join(small_side(current_jobs(jobs, vocab)), "job_id")
 
 
 def oversized_kinds(docs: DataFrame, jobs: DataFrame, vocab: DataFrame) -> DataFrame:
