@@ -211,14 +211,15 @@ def pack_counts(counts: DataFrame, capacity: int, islands: int = ISLANDS, epochs
     full = long.select("doc_id", "piece_no", (F.col("piece_no").cast("bigint") * capacity).alias("start"), F.lit(capacity).cast("bigint").alias("n_tokens"), F.format_string("full-%d-%d", "doc_id", "piece_no").alias("context_id"))
     items = held.where("rest > 0")
     blocks = max(1, round(items.count() / BLOCK_ITEMS))
-    gathered = items.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("rest", "doc_id"))).alias("items"))
+    gathered = items.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("rest", "doc_id", "full"))).alias("items"))
     # A block is bounded by the hash that fills it, so its items fit in a row.
     gathered = materialize(gathered, "blocks")
     as_bytes = F.pandas_udf(lambda s: s.map(lambda a: np.asarray(a, np.int32).tobytes()), "binary")
     state = gathered.select("block", as_bytes(F.col("items.rest")).alias("sizes"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
     state = state.select("block", "island", "sizes", F.lit(None).cast("binary").alias("population"), F.lit(None).cast("binary").alias("migrant"))
     for epoch in range(epochs):
-        spread = state.repartition(min(blocks * islands, 4096), "block", "island")
+        # A few islands a task, so that starting a worker weighs little.
+        spread = state.repartition(max(1, min(blocks * islands // 3, 4096)), "block", "island")
         state = materialize(spread.mapInPandas(_epoch(capacity, epoch, generations), ISLAND), "islands")
         elite = state.select("block", ((F.col("island") + 1) % islands).alias("island"), F.col("elite").alias("migrant"))
         if epoch + 1 < epochs:
@@ -231,9 +232,7 @@ def pack_counts(counts: DataFrame, capacity: int, islands: int = ISLANDS, epochs
     solved = state.select("block", "island", "elite").mapInPandas(best, "block bigint, island int, n int, bins array<int>")
     chosen = solved.groupBy("block").agg(F.min_by("bins", F.struct("n", "island")).alias("bins"))
     placed = gathered.join(chosen, "block").select("block", F.explode(F.arrays_zip("items", "bins")).alias("x"))
-    rest = placed.select(F.col("x.items.doc_id").alias("doc_id"), F.col("x.items.rest").cast("bigint").alias("n_tokens"), F.format_string("mixed-%d-%d", "block", "x.bins").alias("context_id"))
-    rest = rest.join(held.select("doc_id", "full"), "doc_id")
-    rest = rest.select("doc_id", F.col("full").alias("piece_no"), (F.col("full").cast("bigint") * capacity).alias("start"), "n_tokens", "context_id")
+    rest = placed.select(F.col("x.items.doc_id").alias("doc_id"), F.col("x.items.full").alias("piece_no"), (F.col("x.items.full").cast("bigint") * capacity).alias("start"), F.col("x.items.rest").cast("bigint").alias("n_tokens"), F.format_string("mixed-%d-%d", "block", "x.bins").alias("context_id"))
     return full.unionByName(rest)
 
 
