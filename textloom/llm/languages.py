@@ -70,7 +70,9 @@ class PieceModel:
         self.longest = max(map(len, self.ids), default=1)
         self.prob = np.full((len(self.ids) + 1, len(self.langs)), 1.0 / (len(self.ids) + 1))
         self.unknown = len(self.ids)
-        self.words: dict[str, np.ndarray] = {}
+        # Words met so far, each with a row of log-likelihoods.
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(self.langs)))
 
     def lattice(self, word: str) -> list[list[tuple[int, int]]]:
         """For each end in the word: (start, piece) of the pieces that end there. A character that no piece holds is the unknown one."""
@@ -119,15 +121,24 @@ class PieceModel:
             self.prob = (expected + PRIOR * prior) / (expected.sum(axis=0) + PRIOR)
         return self
 
+    def row(self, word: str) -> int:
+        """The row of a word; words beyond 40 letters count by their beginning and end, which have no less to tell."""
+        at = self.known[word] = len(self.known)
+        if at == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        shown = word if len(word) <= 40 else word[:20] + word[-20:]
+        self.rows[at] = np.log(np.maximum(self.forward(self.lattice(shown))[-1], 1e-300))
+        return at
+
     def score(self, word: str) -> np.ndarray:
-        """Log-likelihood of a word in each language; words beyond 40 letters by their beginning and end, which have no more to tell."""
-        if (out := self.words.get(word)) is None:
-            shown = word if len(word) <= 40 else word[:20] + word[-20:]
-            out = np.log(np.maximum(self.forward(self.lattice(shown))[-1], 1e-300))
-            if len(self.words) >= 200_000:
-                self.words.clear()
-            self.words[word] = out
-        return out
+        """Log-likelihood of a word in each language."""
+        at = self.known.get(word)
+        return self.rows[self.row(word) if at is None else at]
+
+    def forget(self, most: int = 200_000) -> None:
+        """Drops the words met if they are too many."""
+        if len(self.known) > most:
+            self.known.clear()
 
     def stretches(self, text: str) -> list[tuple[int, int, str, float, int, int]]:
         """(start, end, language, confidence, words, longest sentence in words) of the stretches of a text, in order."""
@@ -135,16 +146,18 @@ class PieceModel:
         if not _WORD.search(shown):
             shown = text
         spans = [(m.start(), m.end()) for m in _SENTENCE.finditer(shown)]
-        kept, scores, lengths = [], [], []
+        kept, lengths, at = [], [], []
+        self.forget()
+        known = self.known.get
         for a, b in spans:
             w = plain_words(shown[a:b])
             if w:
                 kept.append((a, b))
                 lengths.append(len(w))
-                scores.append(sum(self.score(x) for x in w))
+                at += [self.row(x) if (k := known(x)) is None else k for x in w]
         if not kept:
             return []
-        emit = np.array(scores)
+        emit = np.add.reduceat(self.rows[at], np.cumsum([0, *lengths[:-1]]), axis=0)
         # A whole sentence can change the language; a few words would have to outweigh the price twice.
         best = emit[0].copy()
         back = []
