@@ -89,7 +89,7 @@ def test_small_files(spark):
         ("b", None, 5, False, t(0)), (None, "n.jsonl", 5, False, t(0)), ("b", "late.md", 7, False, None), ("b", "x/a.txt", 10, False, t(0)),
     ]
     got = {(r.bucket, r.path): r.size for r in compaction.small_files(listing(spark, rows)).collect()}
-    assert got == {("b", "x/a.txt"): 20, ("c", "x/a.txt"): 65_535, (None, "n.jsonl"): 5, ("b", "late.md"): 7}
+    assert got == {("b", "x/a.txt"): 20, ("c", "x/a.txt"): 65_535, ("", "n.jsonl"): 5, ("b", "late.md"): 7}
     assert compaction.small_files(listing(spark, rows).where("false")).count() == 0
 
 

@@ -37,9 +37,9 @@ def current_files(listing: DataFrame) -> DataFrame:
 
     Rows that are directories, or have no path or size, say nothing of a file. Several spellings of one
     path in a bucket are one file. Rows listed at the same time: the largest size holds. A null bucket
-    counts as a bucket of its own.
+    counts as one with an empty name.
     """
-    held = clashless(listing, ["bucket", "path", "size", "dir", "listed_at"])
+    held = clashless(listing, ["bucket", "path", "size", "dir", "listed_at"]).withColumn("bucket", F.coalesce("bucket", F.lit("")))
     held = held.where("not dir and size is not null and path is not null").withColumn("path", relative_path("bucket", "path"))
     newest = held.groupBy("bucket", "path").agg(F.max(F.struct("listed_at", "size")).alias("v"))
     return newest.select("bucket", "path", F.col("v.size").alias("size")).where("path <> ''")
@@ -63,10 +63,10 @@ def plan_containers(files: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
     """
     total = files.groupBy(F.col("bucket").alias("of_bucket")).agg(F.sum("size").alias("bucket_bytes"))
     total = small_side(total.withColumn("groups", F.greatest(F.lit(1), F.ceil(F.col("bucket_bytes") / (target * GROUP_CONTAINERS)))))
-    joined = files.join(total, F.col("bucket").eqNullSafe(F.col("of_bucket"))).drop("of_bucket")
+    joined = files.join(total, F.col("bucket") == F.col("of_bucket")).drop("of_bucket")
     grouped = joined.withColumn("group", F.pmod(F.xxhash64("path"), "groups"))
     before = F.sum("size").over(Window.partitionBy("bucket", "group").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    name = F.format_string("%s-%05d-%05d", F.coalesce("bucket", F.lit("")), F.col("group"), F.floor(before / target))
+    name = F.format_string("%s-%05d-%05d", F.col("bucket"), F.col("group"), F.floor(before / target))
     return grouped.withColumn("container", name).select("bucket", "path", "size", "container")
 
 
@@ -156,27 +156,26 @@ def read_compacted(spark: SparkSession, manifest: DataFrame, schema) -> DataFram
     return spark.read.schema(schema).parquet(*targets) if targets else spark.createDataFrame([], schema)
 
 
-def newest_lines(lines: DataFrame) -> DataFrame:
-    """Each line once: of several deliveries of a ``line_id`` the newest holds, ties by content."""
-    content = ["bucket", "path", "line_no", "text", "hex"]
-    held = clashless(lines, ["line_id", *content, "read_at"]).where("line_id is not null")
-    return held.groupBy("line_id").agg(F.max(F.struct("read_at", *content)).alias("v")).select("line_id", *[f"v.{c}" for c in content])
-
-
 def store_small_files(listing: DataFrame, lines: DataFrame, target: int = TARGET_BYTES) -> tuple[DataFrame, DataFrame]:
     """Puts the small files of a listing, with their lines, into few large Parquet files.
 
     Returns the stored files (container, bucket, path, size, lines), read back from the consolidated
     files, and the manifest of the consolidation. Lines are those delivered for small files; each is
-    stored exactly once, with its file. A file holds less than SMALL_BYTES bytes, so its lines fit in a
-    row. Lines of paths that are not small files are not stored; files without lines hold none.
+    stored exactly once, with its file: of several deliveries of a ``line_id`` the newest holds, ties by
+    content. A file holds less than SMALL_BYTES bytes, so its lines fit in a row. Lines of paths that are
+    not small files, and those without an id, are not stored; files without lines hold none.
     """
     spark = listing.sparkSession
     planned = materialize(plan_containers(small_files(listing), target), "plan")
-    content = F.struct("line_no", "line_id", "text", "hex")
-    by_file = newest_lines(lines).groupBy(F.col("bucket").alias("b"), relative_path("bucket", "path").alias("p")).agg(F.sort_array(F.collect_list(content)).alias("lines"))
-    files = planned.join(by_file, F.col("bucket").eqNullSafe(F.col("b")) & (F.col("path") == F.col("p")), "left")
-    held = files.select("container", "bucket", "path", "size", "lines")
+    content = ["line_no", "text", "hex"]
+    given = clashless(lines, ["line_id", "bucket", "path", *content, "read_at"]).where("line_id is not null and path is not null")
+    given = given.withColumn("bucket", F.coalesce("bucket", F.lit(""))).withColumn("path", relative_path("bucket", "path"))
+    # One shuffle on bucket and path serves the join and both aggregations, whose keys begin with them.
+    joined = planned.join(given, ["bucket", "path"], "left")
+    once = joined.groupBy("bucket", "path", "container", "size", "line_id").agg(F.max(F.struct("read_at", *content)).alias("v"))
+    line = F.when(F.col("line_id").isNotNull(), F.struct("v.line_no", "line_id", "v.text", "v.hex"))
+    held = once.groupBy("bucket", "path", "container", "size").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    held = held.select("container", "bucket", "path", "size", "lines")
     fragments = scratch_path(spark, "fragments")
     held.repartition("container").sortWithinPartitions("container", "path").write.parquet(fragments)
     manifest = compact_parquet(spark, fragments, scratch_path(spark, "containers"), target)
