@@ -111,5 +111,8 @@ def test_store_keeps_every_line_once(spark):
     stored, _ = compaction.store_small_files(files, lines)
     assert {r.path for r in stored.collect()} == {"x/a.jsonl", "x/b.txt"}
     assert sorted((r.line_id, r.text, r.hex) for r in compaction.stored_lines(stored).collect()) == [(1, "one", None), (2, "new", None), (4, None, "ff")]
+    hot = spark.range(150_000).selectExpr("id + 100 as line_id", "'b' as bucket", "'big.jsonl' as path", "int(id) as line_no", "'x' as text", "cast(null as string) as hex", "timestamp'2024-01-01' as read_at")
+    again, _ = compaction.store_small_files(files, lines.unionByName(hot))
+    assert compaction.stored_lines(again).count() == 3
     empty, _ = compaction.store_small_files(files.where("false"), lines.where("false"))
     assert empty.count() == 0

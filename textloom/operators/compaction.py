@@ -170,6 +170,9 @@ def store_small_files(listing: DataFrame, lines: DataFrame, target: int = TARGET
     content = ["line_no", "text", "hex"]
     given = clashless(lines, ["line_id", "bucket", "path", *content, "read_at"]).where("line_id is not null and path is not null")
     given = given.withColumn("bucket", F.coalesce("bucket", F.lit(""))).withColumn("path", relative_path("bucket", "path"))
+    # A path of very many lines that is no small file would end in one task only to be dropped; it is dropped before.
+    many = given.groupBy("bucket", "path").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_BYTES).join(planned, ["bucket", "path"], "left_anti")
+    given = given.join(small_side(many.select("bucket", "path")), ["bucket", "path"], "left_anti")
     # One shuffle on bucket and path serves the join and both aggregations, whose keys begin with them.
     joined = planned.join(given, ["bucket", "path"], "left")
     once = joined.groupBy("bucket", "path", "container", "size", "line_id").agg(F.max(F.struct("read_at", *content)).alias("v"))
