@@ -49,6 +49,15 @@ def test_round_trip(text):
     assert spec.decoder()(spec.encoder()(text)) == text
 
 
+def test_pull_equals_whole(gpt2):
+    text = "One line.\nAnd another\n\nline, without end" * 50
+    e = replace(gpt2, add_bos=True, add_eos=True).encoder()
+    for size in (1, 7, 4096):
+        parts = list(tokenizer.pull(e, [text[k : k + 13] for k in range(0, len(text), 13)], size))
+        assert [t for p in parts for t in p] == e(text) and all(len(p) == size for p in parts[:-1])
+    assert list(tokenizer.pull(gpt2.encoder(), [], 5)) == []
+
+
 def test_columns(spark, gpt2):
     df = spark.createDataFrame([(1, "This is a test."), (2, None), (3, "")], "doc_id long, text string")
     rows = {r[0]: r for r in df.select("doc_id", tokenizer.encode("text", gpt2).alias("t")).withColumn("back", tokenizer.decode("t", gpt2)).collect()}

@@ -76,7 +76,7 @@ COPIED = "target string, source string, rows bigint, blocks bigint, bytes bigint
 def _open(path: str):
     from pyarrow import fs
 
-    system, inside = fs.FileSystem.from_uri(path)
+    system, inside = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
     return system, inside
 
 

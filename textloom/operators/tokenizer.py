@@ -235,6 +235,43 @@ class Encoder:
         return ([bos] if bos is not None else []) + out + ([eos] if eos is not None else [])
 
 
+def pull(encoder: Encoder, texts: Iterable[str], size: int) -> Iterator[list[int]]:
+    """Tokens of a text that arrives in pieces, ``size`` at a time; the last pull gives the rest.
+
+    A line is encoded once it is complete, as words never span one; tokens that may still merge with those
+    of the next line are held back, so the pulls joined are the tokens of the whole text.
+    """
+    spec = replace(encoder.spec, add_bos=False, add_eos=False, lead_space=False)
+    inner = Encoder(spec, encoder.keep)
+    ends = [spec.vocab.get(t) if on and t else None for on, t in ((encoder.spec.add_bos, encoder.spec.bos), (encoder.spec.add_eos, encoder.spec.eos))]
+    out: list[int] = []
+    held = " " if encoder.spec.lead_space else ""
+
+    def add(line: str) -> None:
+        nonlocal out
+        new = inner(line)
+        if out and new and (out[-1], new[0]) in inner.joins:
+            out = merge_across(out, new, inner.joins)
+        else:
+            out += new
+
+    first = [ends[0]] if ends[0] is not None else []
+    for text in texts:
+        held += text
+        *lines, held = held.split("\n")
+        for line in lines:
+            add(f"{line}\n")
+        # What a merge may still reach is kept; a merge takes a token of the end and those it then meets.
+        while len(out) > 2 * size:
+            part, out = (first + out)[:size], (first + out)[size:]
+            first = []
+            yield part
+    add(held)
+    out = first + out + ([ends[1]] if ends[1] is not None else [])
+    for k in range(0, len(out), size):
+        yield out[k : k + size]
+
+
 def merge_across(done: list[int], new: Iterable[int], joins: dict[tuple[int, int], int]) -> list[int]:
     """Appends a word's tokens, merging over the border of the words wherever a pair of ids merges; a merge is tried again with what stands before it."""
     at = max(0, len(done) - 1)

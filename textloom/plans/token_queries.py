@@ -143,8 +143,8 @@ def retokenize_padded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokens_ready(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the first 100 tokens of a text end on a character's border, and the tokens up to the last one."""
-    held = _docs(spark, d).select("doc_id", F.slice(encode("text", gpt2()), 1, 100).alias("t"))
+    """Whether a text's tokens without the last one end on a character's border, and their number up to the last border."""
+    held = _docs(spark, d).select("doc_id", encode("text", gpt2()).alias("t")).where("size(t) > 1").withColumn("t", F.expr("slice(t, 1, size(t) - 1)"))
     return held.select("doc_id", tokenizer.tokens_ready("t", gpt2()).alias("ready"), F.size(tokenizer.trim_tokens("t", gpt2())).alias("n"))
 
 

@@ -25,7 +25,7 @@ RANGE_BYTES = 64 << 20
 def _system(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 
 @dataclass
