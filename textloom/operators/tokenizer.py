@@ -235,6 +235,10 @@ class Encoder:
         return ([bos] if bos is not None else []) + out + ([eos] if eos is not None else [])
 
 
+#: Tokens that a pull leaves for merges over the end of a line.
+HELD_BACK = 64
+
+
 def pull(encoder: Encoder, texts: Iterable[str], size: int) -> Iterator[list[int]]:
     """Tokens of a text that arrives in pieces, ``size`` at a time; the last pull gives the rest.
 
@@ -262,7 +266,7 @@ def pull(encoder: Encoder, texts: Iterable[str], size: int) -> Iterator[list[int
         for line in lines:
             add(f"{line}\n")
         # What a merge may still reach is kept; a merge takes a token of the end and those it then meets.
-        while len(out) > 2 * size:
+        while len(out) > size + HELD_BACK:
             part, out = (first + out)[:size], (first + out)[size:]
             first = []
             yield part
