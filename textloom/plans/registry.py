@@ -14,7 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**text_queries.SQL, **token_queries.sql_queries(), **compaction_queries.SQL}
+    try:
+        tokens = token_queries.sql_queries()
+    except FileNotFoundError:  # without the public tokenizer files there is no small vocabulary to spell out
+        tokens = {}
+    return {**text_queries.SQL, **tokens, **compaction_queries.SQL}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

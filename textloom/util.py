@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,3 +92,28 @@ def drop_scratch(spark: SparkSession) -> None:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     _WRITTEN.clear()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of a session, once; needed where it is not installed on them.
+
+    The archive is written to the shared folder and distributed by Spark.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_textloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, str(file.relative_to(root.parent)))
+    from pyarrow import fs
+
+    path = scratch_path(spark, "package") + ".zip"
+    _WRITTEN.append(path)
+    system, inside = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    system.create_dir(inside.rpartition("/")[0])
+    with system.open_output_stream(inside) as f:
+        f.write(packed.getvalue())
+    context.addPyFile(path)
+    context._textloom_shipped = True
