@@ -28,9 +28,19 @@ def duck(data):
 @pytest.mark.skipif(not SQL, reason="no public tokenizer files")
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, data, duck, name):
-    got = QUERIES[name](spark, data).toPandas()
+    df = QUERIES[name](spark, data)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    got = df.toPandas()
     assert len(got.columns) == len(set(got.columns))
     if name in SQL:
         wanted = duck.execute(SQL[name]).df()
         assert sorted(got.columns) == sorted(wanted.columns)
         assert rows(got) == rows(wanted)
+
+
+def test_scans_read_what_they_need(spark, data):
+    plan = QUERIES["document_index"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<text_id:bigint,path:string,tokens:array<bigint>>" in plan
+    plan = QUERIES["word_freq"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<text:string>" in plan

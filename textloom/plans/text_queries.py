@@ -96,7 +96,7 @@ def literal_positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def character_classes(spark: SparkSession, d: str) -> DataFrame:
-    chars = table(spark, d, "documents").select(F.explode(F.split("text", "")).alias("c")).where("c <> ''")
+    chars = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("(?s)."), 0)).alias("c"))
     return chars.groupBy("c").agg(F.count("*").alias("n")).groupBy(text.character_class("c").alias("class")).agg(F.sum("n").alias("n"), F.count("*").alias("n_different"))
 
 
@@ -191,6 +191,17 @@ SQL = {
     """,
     "word_freq": f"select word, count(*) as n from (select unnest({SQL_WORDS}) as word from documents) group by word",
     "word_cache_rate": f"select sum(n)::bigint as n_words, count(*) as n_distinct, 1 - count(*) / sum(n) as hit_rate from (select word, count(*) as n from (select unnest({SQL_WORDS}) as word from documents) group by word)",
+    "word_split_specials": f"""
+        with l as (select doc_id, unnest(regexp_extract_all(replace(text, '. ', '.<|endoftext|> '), '[^\\n]*\\n|[^\\n]+')) as line, generate_subscripts(regexp_extract_all(replace(text, '. ', '.<|endoftext|> '), '[^\\n]*\\n|[^\\n]+'), 1) - 1 as line_no from documents where text is not null),
+        p as (select doc_id, line_no, string_split(line, '<|endoftext|>') as parts from l),
+        w as (select doc_id, line_no, flatten(list_transform(range(1, len(parts) + 1), lambda i: list_concat(regexp_extract_all(parts[i], {quoted(PATTERN)}), case when i < len(parts) then ['<|endoftext|>'] else [] end))) as words from p)
+        select doc_id, line_no::int as line_no, unnest(words) as word, (generate_subscripts(words, 1) - 1)::int as word_no from w
+    """,
+    "character_classes": r"""
+        with c as (select unnest(regexp_extract_all(text, '(?s).')) as c from documents),
+        k as (select c, case when c = chr(10) then 'newline' when regexp_full_match(c, '[\t\x0b\f\r \x{85}\x{A0}\p{Z}]') then 'space' when regexp_full_match(c, '\p{L}') then 'letter' when regexp_full_match(c, '\p{N}') then 'number' else 'symbol' end as class from c)
+        select class, count(*) as n, count(distinct c) as n_different from k group by class
+    """,
     "trimmed_words": f"select doc_id, array_to_string(list_filter(list_transform({SQL_WORDS}, lambda w: trim(w, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160) || chr(5760) || chr(8192) || chr(8193) || chr(8194) || chr(8195) || chr(8196) || chr(8197) || chr(8198) || chr(8199) || chr(8200) || chr(8201) || chr(8202) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288) || chr(133))), lambda w: w <> ''), '|') as words from documents where text is not null",
     "literal_positions": """
         with p as (select doc_id, string_split(text, 'the') as parts from documents where text is not null)
