@@ -427,8 +427,8 @@ PROFILES: dict[str, dict] = {
     "gpt2": {},
     "pile": {},
     "clip": {"byte_level": True, "normalizer": {"‘": "'", "’": "'", "“": '"', "”": '"'}, "add_bos": True, "add_eos": True, "bos": "<|startoftext|>", "eos": "<|endoftext|>", "pad": "<|endoftext|>", "prefix_space": False, "lower_case": True, "end_of_word": "</w>", "punctuation": (",", ".", "!", "?", "'"), "specials": ("<|startoftext|>", "<|endoftext|>")},
-    "nerdstash_v1": {"byte_level": False, "pattern": PLAIN_PATTERN},
-    "nerdstash_v2": {"byte_level": False, "pattern": PLAIN_PATTERN},
+    # Vocabularies with byte pieces and no branch for contractions.
+    "byte_fallback": {"byte_level": False, "pattern": PLAIN_PATTERN},
     "llama": {"byte_level": False, "specials": ("<s>", "</s>"), "bos": "<s>", "eos": "</s>"},
     "mistral": {"byte_level": False, "specials": ("<s>", "</s>"), "bos": "<s>", "eos": "</s>", "add_bos": True, "lead_space": True},
     "llama3": {"ignore_merges": True, "specials": ("<|begin_of_text|>", "<|end_of_text|>"), "bos": "<|begin_of_text|>", "eos": "<|end_of_text|>", "add_bos": True, "add_eos": True},
