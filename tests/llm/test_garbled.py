@@ -67,3 +67,10 @@ def test_question_marks(model, text, lost):
     model[0].lossy.update({"ungef?hr": 50, "?": 50})
     model[0].cores.update({"wirklich": 50, "é": 50})
     assert Repairer(model[0])(text)[3] == lost
+
+
+def test_words_are_counted_over_all_lines(spark, model):
+    # Three times the rows of the sample: of 15 lines with the word it holds about 5, which prove nothing.
+    lines = spark.range(60_000).selectExpr("id as line_id", "case when id % 4000 = 7 then 'ungefähr' when id = 1 then 'ungef?hr' else 'plain words' end as text")
+    clean = spark.createDataFrame([(t,) for t in model[1] if "ungefähr" not in t.lower()], "text string")
+    assert [(r.line_id, r.lost) for r in repair_lines(lines, clean).collect()] == [(1, True)]

@@ -5,8 +5,9 @@ exact chain of encodings of each word that holds more than ASCII; the chain is t
 must decode strictly, and it must be more plausible than what stood there. What was lost for good
 (replacement characters) is found, too, but not restored.
 
-Bounds of the training data: all of the labelled clean sentences plus at most ``SAMPLE_ROWS`` rows of
-the unlabelled text, drawn by a hash of their id.
+Bounds of the training data of the bigrams: all of the labelled clean sentences plus at most ``SAMPLE_ROWS``
+rows of the unlabelled text, drawn by a hash of their id. The word counts a judgement rests on are those of
+all lines: Spark counts them, and each line gets the counts that its words may ask for by a join.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from textloom.llm.lookalikes import LOOKALIKES, look
 from textloom.util import spread
 
-#: Rows of unlabelled text from which word counts and clean examples are taken.
+#: Rows of unlabelled text from which clean examples for the bigrams are taken.
 SAMPLE_ROWS = 20_000
 #: Buckets of the hashed byte bigrams.
 BUCKETS = 8192
@@ -52,6 +53,7 @@ CHAINS: list[tuple[str, ...]] = [
 ]
 
 _RANK = {c: k for k, c in enumerate(CHAINS)}
+SINGLE = [c for c in CHAINS if c[0] != "utf-8"]
 
 _NON_ASCII = regex.compile(r"[^\x00-\x7f]+")
 _NON_ASCII_ONE = regex.compile(r"[^\x00-\x7f]")
@@ -248,16 +250,22 @@ class GarbleModel:
         stacked = np.stack(counts)
         model.table = np.log(stacked / stacked.sum(axis=1, keepdims=True)).astype(np.float32)
         for w, n in model.seen.items():
-            model.cores[core(w)] += n
-            model.marked[marked_core(w)] += n
-            model.lossy[_NON_ASCII_ONE.sub("?", marked_core(w))] += n
-        model.cores.pop("", None)
+            for key in counted_as(w):
+                model.counts_of(key)[key[1:]] += n
         return model
 
+    def counts_of(self, key: str) -> Counter:
+        """The counts a key of counted_as() belongs to."""
+        return {"c": self.cores, "m": self.marked, "l": self.lossy}[key[0]]
+
     def seen_as(self, word: str) -> int:
         """How often a word was seen, whatever punctuation stands around it, in whatever case and with whatever digits."""
         return self.cores[core(word)]
 
+    def disguised(self, word: str, n: int) -> bool:
+        """Whether a word is spelt with other characters but looks like a known one, and what it may have been, seen n times, is not far more common."""
+        return (shown := look(word)) != word and n < 30 * self.seen_as(shown)
+
     def lost_evidence(self, text: str) -> float:
         """Evidence that characters of a text were replaced by question marks, or that only the first byte of each is left.
 
@@ -279,14 +287,61 @@ class GarbleModel:
                 behind = words[at + 1] if at + 1 < len(words) else ""
                 if not behind[:1].isalpha() or not (behind[0].islower() or shouted and at):
                     continue
-            elif "?" not in (bare := key.rstrip("?")) and self.cores[bare] >= 3:
-                continue
             literal = self.marked[key]
             n = self.lossy[_NON_ASCII_ONE.sub("?", key)] - literal
-            if n >= 3:
+            if key != "?" and "?" not in (bare := key.rstrip("?")):
+                # A core's count holds that of the word with its question marks. In a large table first bytes alone are met often, too.
+                known = self.cores[bare] - (literal if bare != key else 0)
+                if known >= 3 and (bare != key or n < 30 * (known + 1)):
+                    continue
+            if n >= 3 and not self.disguised(w, n):
                 total += max(0.0, float(np.log((n + 0.5) / (literal + 1.0))))
         return total
 
+    def candidates(self, word: str) -> Iterator[tuple[tuple[str, ...], str]]:
+        """The chains that can have garbled a word, each with the word before it, in the order of their likelihood."""
+        scores = self.table[:, features(word)].sum(axis=1)
+        # A character of UTF-8 is garbled into two at least.
+        single = all(len(run) == 1 for run in _NON_ASCII.findall(word))
+        for k in np.argsort(-scores):
+            chain = self.chains[k]
+            if chain is None:
+                continue
+            if single if chain[0] == "utf-8" else scores[k] < scores[0]:
+                continue
+            before = ungarble(word, chain)
+            if before is not None and before != word and self.plausible(before, word):
+                yield chain, before
+
+    def plausible(self, before: str, word: str) -> bool:
+        """Whether what a chain makes anew of a word is characters of the known languages."""
+        return not any(ord(c) > 127 and c not in self.letters for c in set(before) - set(word))
+
+    def asked(self, word: str) -> set[str]:
+        """Keys of the counts that judging and restoring a word may ask for, whatever the counts are."""
+        out = set()
+        if "?" in word or (_SUSPECT.search(word) and all(c.isascii() or c in LEADS for c in word)):
+            key = marked_core(word)
+            out |= {f"m{key}", f"l{_NON_ASCII_ONE.sub('?', key)}", f"c{key.rstrip('?')}"}
+        return out if word.isascii() else out | {f"c{c}" for c in self._cores_asked(word)}
+
+    def _cores_asked(self, word: str) -> set[str]:
+        out = {core(word), core(look(word))}
+        for chain, before in self.candidates(word):
+            out.add(core(before))
+            if chain[0] == "utf-8":
+                if not before.isascii():
+                    out |= self._cores_asked(before)
+                if not needs_count(chain):
+                    return out
+        if look(word) == word or _CONTROL.search(word):
+            # What a text's other words prove is tried on this one, too.
+            for chain in SINGLE:
+                before = ungarble(word, chain)
+                if before is not None and self.plausible(before, word):
+                    out.add(core(before))
+        return out
+
     def judge(self, word: str) -> Verdict:
         """What chains may have garbled a word.
 
@@ -295,30 +350,18 @@ class GarbleModel:
         possible chain is kept with its evidence: how much more common the word before is than what
         stands there. A word that looks like a known one is intended.
         """
-        scores = self.table[:, features(word)].sum(axis=1)
         open_chains = {}
         known = self.seen_as(word)
-        # A character of UTF-8 is garbled into two at least.
-        single = all(len(run) == 1 for run in _NON_ASCII.findall(word))
-        for k in np.argsort(-scores):
-            chain = self.chains[k]
-            if chain is None:
-                continue
-            exact = chain[0] == "utf-8"
-            if single if exact else scores[k] < scores[0]:
-                continue
-            before = ungarble(word, chain)
-            if before is None or before == word or any(ord(c) > 127 and c not in self.letters for c in set(before) - set(word)):
-                continue
+        for chain, before in self.candidates(word):
             n = self.seen_as(before)
-            if exact:
-                if n < 3 and (chain[-2:] == ("cp1251", "lower") or chain[1] in CYRILLIC):  # Cyrillic look-alikes in Latin words decode, too
+            if chain[0] == "utf-8":
+                if needs_count(chain) and (n < 3 or self.disguised(word, n)):
                     continue
                 again = self.judge(before) if not before.isascii() else None
                 return Verdict(again.chain + chain, again.before) if again and again.chain else Verdict(chain, before)
             # A single letter is evidence only if it is far more common; a single sign never is.
             tells = len(core(before)) >= 2 or (core(word).isalpha() and core(before).isalpha() and n >= 30 * (known + 1))
-            evidence = np.log((n + 0.5) / (known + 1.0)) if n and tells and not (look(word) != word and self.seen_as(look(word))) else 0.0
+            evidence = np.log((n + 0.5) / (known + 1.0)) if n and tells and not self.disguised(word, n) else 0.0
             open_chains[chain] = (before, max(0.0, float(evidence)), n)
         return Verdict(None, None, open_chains)
 
@@ -355,8 +398,7 @@ class Repairer:
                 return -np.inf
             return round(float(sum(np.log(self.model.seen_as(b) + 0.5) for b in before)), 6)
 
-        single = [c for c in CHAINS if c[0] != "utf-8"]
-        return max([("cp1252", "latin-1"), *single], key=fit)
+        return max([("cp1252", "latin-1"), *SINGLE], key=fit)
 
     def __call__(self, text: str) -> tuple[bool, str, str | None, bool]:
         """(garbled, restored text, chain or None, lost): lost if characters are gone for good.
@@ -420,6 +462,18 @@ def marked_core(word: str) -> str:
     return regex.sub(r"[0-9]+", "0", word.strip(_PUNCTUATION.replace("?", "")).lower())
 
 
+def needs_count(chain: tuple[str, ...]) -> bool:
+    """Whether a chain of UTF-8 is proven only by a known word, as Cyrillic look-alikes in Latin words decode by it, too."""
+    return chain[-2:] == ("cp1251", "lower") or chain[1] in CYRILLIC
+
+
+def counted_as(word: str) -> list[str]:
+    """Keys a word counts for: c and its core, and if characters of it are or may be lost, m and l with its marked core and that without them."""
+    marked = marked_core(word)
+    lossy = _NON_ASCII_ONE.sub("?", marked)
+    return [f"c{c}" for c in (core(word),) if c] + ([f"m{marked}", f"l{lossy}"] if "?" in lossy else [])
+
+
 def core(word: str) -> str:
     """A word without the ASCII punctuation around it, in lower case, all digits alike."""
     return regex.sub(r"[0-9]+", "0", word.strip(_PUNCTUATION).lower())
@@ -444,6 +498,24 @@ def train_garble_model(lines: DataFrame, clean: DataFrame, rows: int = SAMPLE_RO
 
 
 REPAIRED = "line_id bigint, text string, restored string, chain string, lost boolean"
+#: What separates words, as in words_of().
+_BETWEEN = "[ \n\t\r]+"
+#: An ASCII word or text without a question mark can't have been garbled; the JVM drops it before Python sees it.
+_OPEN = "(octet_length({0}) > char_length({0}) or contains({0}, '?'))"
+
+
+def word_counts(lines: DataFrame, clean: DataFrame) -> DataFrame:
+    """(key, n): how often the words of all lines, and of the clean sentences as they stand and in capitals, count for each key of counted_as()."""
+    texts = lines.select("text").union(clean.select("text")).union(clean.select(F.upper("text")))
+    words = texts.select(F.explode(F.split("text", _BETWEEN)).alias("word")).where("word <> '' and not contains(word, '\ufffd')")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(k, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k in counted_as(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], ["key", "n"])
+
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).mapInArrow(keys, "key string, n bigint")
+    return counted.groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def repair_lines(lines: DataFrame, clean: DataFrame, model: GarbleModel | None = None) -> DataFrame:
@@ -451,19 +523,44 @@ def repair_lines(lines: DataFrame, clean: DataFrame, model: GarbleModel | None =
 
     ``restored`` is the text as first written, as far as it can be had; where characters are lost for
     good ``lost`` is true, and they stay replacement characters or question marks. Null texts, empty ones and ASCII
-    without question marks are clean. Lines delivered twice come out once per different text.
+    without question marks are clean. Lines delivered twice come out once per different text. Words are counted
+    over all of ``lines``; of a given ``model`` only bigrams and letters are used.
     """
     spark = lines.sparkSession
-    held = spark.sparkContext.broadcast(model or train_garble_model(lines, clean))
-    # An ASCII text without a question mark can't have been garbled; the JVM drops it before Python sees it.
-    given = lines.where("text is not null and (octet_length(text) > char_length(text) or contains(text, '?'))").select("line_id", "text")
-    given = spread(given)
+    model = model or train_garble_model(lines, clean)
+    held = spark.sparkContext.broadcast(GarbleModel(model.table, model.chains, letters=model.letters))
+    given = lines.where(f"text is not null and {_OPEN.format('text')}").select("line_id", "text")
+    # Texts are told apart by a hash; those that share one get the counts for the words of both.
+    given = spread(given).distinct().withColumn("h", F.xxhash64("text"))
+    words = given.select("h", F.explode(F.array_distinct(F.split("text", _BETWEEN))).alias("word")).where(_OPEN.format("word"))
+
+    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(w, k) for w in batch.column(0).to_pylist() for k in held.value.asked(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([k for _, k in out], pa.string())], ["word", "key"])
+
+    # Distinct words are few bytes but much work, so they are dealt to all cores.
+    asked = words.select("word").distinct().repartition(spark.sparkContext.defaultParallelism).mapInArrow(asks, "word string, key string")
+    # Neither words nor keys hold tabs or line ends.
+    known = asked.join(word_counts(lines, clean), "key").groupBy("word").agg(F.array_join(F.collect_list(F.concat_ws("\t", "key", "n")), "\n").alias("counts"))
+    counts = words.join(known, "word").groupBy("h").agg(F.collect_set("counts").alias("counts"))
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fix = Repairer(held.value)
+        # A worker keeps what was broadcast, so each task counts in a model of its own.
+        model = GarbleModel(held.value.table, held.value.chains, letters=held.value.letters)
+        fix, loaded = Repairer(model), set()
         for batch in batches:
             out = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, t, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if len(model.cores) >= fix.keep:
+                    for c in (loaded, model.cores, model.marked, model.lossy):
+                        c.clear()
+                for entries in counts or ():
+                    if entries not in loaded:
+                        loaded.add(entries)
+                        for entry in entries.split("\n"):
+                            key, n = entry.split("\t")
+                            model.counts_of(key)[key[1:]] = int(n)
                 garbled, restored, chain, lost = fix(t)
                 if garbled:
                     out.append((i, t, restored, chain, lost))
@@ -471,4 +568,4 @@ def repair_lines(lines: DataFrame, clean: DataFrame, model: GarbleModel | None =
             types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], ["line_id", "text", "restored", "chain", "lost"])
 
-    return given.mapInArrow(repair, REPAIRED).distinct()
+    return given.join(counts, "h", "left").select("line_id", "text", "counts").mapInArrow(repair, REPAIRED)
