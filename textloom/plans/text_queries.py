@@ -141,6 +141,16 @@ def files_by_path(spark: SparkSession, d: str) -> DataFrame:
     return sort_files(table(spark, d, "path_infos").select("path").distinct(), "name_ascending").limit(100)
 
 
+def files_all_by_size(spark: SparkSession, d: str) -> DataFrame:
+    """The whole listing, the largest first, paths without a size last."""
+    return sort_files(table(spark, d, "path_infos").select("path", "size").distinct(), "size_descending")
+
+
+def files_all_by_path(spark: SparkSession, d: str) -> DataFrame:
+    """The whole listing by path."""
+    return sort_files(table(spark, d, "path_infos").select("path").distinct(), "name_ascending")
+
+
 def files_shuffled(spark: SparkSession, d: str) -> DataFrame:
     return sort_files(table(spark, d, "path_infos").select("listing_id", "path").distinct(), "shuffle", seed=7)
 
@@ -150,7 +160,7 @@ def size_rollup(spark: SparkSession, d: str) -> DataFrame:
     return docs.rollup("lang", "source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"), F.grouping_id().cast("bigint").alias("level"))
 
 
-QUERIES = {f.__name__: f for f in (sanitize_documents, repair_garbled_lines, normalize_quotes, newline_mode, byte_alphabet_words, json_escapes, boundary_arguments, split_locations, word_split, word_freq, word_cache_rate, word_split_specials, trimmed_words, literal_positions, character_classes, json_harvest, json_join, list_objects, newest_text, newest_directory, files_by_size, files_by_path, files_shuffled, size_rollup)}
+QUERIES = {f.__name__: f for f in (sanitize_documents, repair_garbled_lines, normalize_quotes, newline_mode, byte_alphabet_words, json_escapes, boundary_arguments, split_locations, word_split, word_freq, word_cache_rate, word_split_specials, trimmed_words, literal_positions, character_classes, json_harvest, json_join, list_objects, newest_text, newest_directory, files_by_size, files_by_path, files_all_by_size, files_all_by_path, files_shuffled, size_rollup)}
 
 
 def _nested(forms: list[tuple[str, str]], inner: str) -> str:
@@ -214,6 +224,8 @@ SQL = {
     "newest_directory": "select path from path_infos where dir and mod_time is not null order by mod_time desc, path desc limit 1",
     "files_by_size": "select distinct path, size from path_infos where size is not null order by size desc, path limit 100",
     "files_by_path": "select distinct path from path_infos order by path limit 100",
+    "files_all_by_size": "select distinct path, size from path_infos order by size desc nulls last, path",
+    "files_all_by_path": "select distinct path from path_infos order by path",
     "files_shuffled": "select distinct listing_id, path from path_infos",
     "size_rollup": "select lang, source, count(*) as n_docs, sum(n_chars)::bigint as n_chars, grouping_id(lang, source) as level from documents where text is not null group by rollup (lang, source)",
 }
