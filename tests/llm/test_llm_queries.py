@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from textloom.llm.queries import QUERIES, SQL
+from textloom.util import table
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -15,3 +16,10 @@ def test_query(spark, data, name):
         for t in os.listdir(data):
             con.execute(f"create view {t.removesuffix('.parquet')} as select * from '{data}/{t}'")
         assert got == sorted(con.execute(SQL[name]).fetchall())
+
+
+def test_canonical_form_of_all_values(spark, data):
+    got = {(r.kind, r.id) for r in QUERIES["p2_canonical"](spark, data).collect()}
+    lines = {("line", r[0]) for r in table(spark, data, "encode_lines").where("text is not null").select("line_id").collect()}
+    configs = {("config", r[0]) for r in table(spark, data, "special_configs").where("normalizer is not null").select("config_id").collect()}
+    assert lines and configs and got == lines | configs

@@ -26,16 +26,21 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.withColumn("tokens", F.array_join(F.transform("tokens", lambda t: t.cast("string")), " "))
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
+def p2_values(spark: SparkSession, d: str) -> DataFrame:
+    """(kind, id, value): the texts of the lines and the normalizers of the configs."""
     lines = table(spark, d, "encode_lines").select(F.lit("line").alias("kind"), F.col("line_id").alias("id"), F.col("text").alias("value"))
     configs = table(spark, d, "special_configs").select(F.lit("config").alias("kind"), F.col("config_id").alias("id"), F.col("normalizer").alias("value"))
-    return lookalike_pairs(lines.unionByName(configs), table(spark, d, "vocab"))
+    return lines.unionByName(configs)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike_pairs(p2_values(spark, d), table(spark, d, "vocab"))
 
 
 def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
-    """Every line with its canonical form, once per different text."""
-    lines = table(spark, d, "encode_lines").where("text is not null").select("line_id", "text").distinct()
-    return canonical_form(lines, "text", table(spark, d, "vocab")).select("line_id", "canonical")
+    """Every line and every normalizer with its canonical form, once per different value."""
+    values = p2_values(spark, d).where("value is not null").distinct()
+    return canonical_form(values, "value", table(spark, d, "vocab")).select("kind", "id", "canonical")
 
 
 def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
