@@ -60,3 +60,10 @@ def test_rows(spark, items):
     got = {(r.doc_id, r.eval_id) for r in find_leaks(docs, ev).collect()}
     assert {(1, items[0][0]), (4, items[1][0])} <= got and {d for d, _ in got} == {1, 4}
     assert find_leaks(docs.where("false"), ev).count() == 0 and find_leaks(docs, ev.where("false")).count() == 0
+
+
+def test_items_that_repeat_a_shingle_often():
+    r = random.Random(72)
+    item = [w for j in range(40) for w in ("buy", "it", "now", *(f"u{j}{x}" for x in range(r.randint(1, 5))))]
+    doc = ["x" if r.random() < r.choice((0.1, 0.15, 0.2)) else w for w in item]
+    assert LeakIndex([(1, " ".join(item))]).search(" ".join(doc)) == [(1, 1.0)]

@@ -116,16 +116,20 @@ class LeakIndex:
         """Share of an item's words that stand in running passages of a document."""
         at, item = self.positions[k], self.words[k]
         chains: list[list] = []  # first and last item position, last document position, matched positions, first document position
+        live: list[list] = []  # those that a match at q can still go on from
         for q, c in places:
+            if c in at:
+                live = [chain for chain in live if q - chain[2] <= GAP + SHINGLE]
             for p in at.get(c, ()):
                 best = None
-                for chain in reversed(chains[-24:]):
+                for chain in reversed(live):
                     dp, dq = p - chain[1], q - chain[2]
                     if 1 <= dp <= GAP + SHINGLE - 1 and 1 <= dq <= GAP + SHINGLE and abs(dp - dq) <= 2:
                         best = chain
                         break
                 if best is None:
                     chains.append([p, p, q, {p, p + 1, p + 2}, q])
+                    live.append(chains[-1])
                 else:
                     best[1], best[2] = p, q
                     best[3].update((p, p + 1, p + 2))
