@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import cached_property
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -176,7 +178,7 @@ class Encoder:
         return out
 
     def bpe(self, word: str) -> tuple[int, ...]:
-        """Tokens of one word: lowest-ranked adjacent pair first, all its occurrences from the left."""
+        """Tokens of one word; see merged_parts."""
         spec = self.spec
         text = "".join([self.letters[b] for b in word.encode()]) if spec.byte_level else word
         if spec.ignore_merges and text in spec.vocab:
@@ -184,21 +186,7 @@ class Encoder:
         parts = list(text)
         if spec.end_of_word and parts:
             parts[-1] += spec.end_of_word
-        ranks = spec.ranks
-        while len(parts) > 1:
-            best = min((ranks.get(p, 1 << 60) for p in zip(parts, parts[1:], strict=False)))
-            if best == 1 << 60:
-                break
-            a, b = spec.merges[best]
-            merged, k = [], 0
-            while k < len(parts):
-                if k + 1 < len(parts) and parts[k] == a and parts[k + 1] == b:
-                    merged.append(a + b)
-                    k += 2
-                else:
-                    merged.append(parts[k])
-                    k += 1
-            parts = merged
+        parts = merged_parts(parts, spec.ranks)
         out: list[int] = []
         for p in parts:
             if (t := spec.vocab.get(p)) is not None:
@@ -218,84 +206,137 @@ class Encoder:
         self.cache[word] = out
         return out
 
+    def plain(self, text: str) -> list[int]:
+        """Tokens of a text as it stands, without a leading space, bos or eos."""
+        out: list[int] = []
+        self.append(out, self.split(text))
+        return out
+
+    def append(self, out: list[int], words: Iterable[str]) -> None:
+        """Appends the tokens of words to those of the words before them."""
+        cached, joins = self.cache.get, self.joins
+        for word in words:
+            if (new := cached(word)) is None:
+                new = self.tokens_of(word)
+            else:
+                self.hits += 1
+            if joins and out and new and (out[-1], new[0]) in joins:
+                merge_across(out, new, joins)
+            else:
+                out += new
+
     def __call__(self, text: str | None) -> list[int] | None:
         """Tokens of a text; None for None, nothing (or bos and eos) for an empty one."""
         if text is None:
             return None
         spec = self.spec
-        out: list[int] = []
-        for word in self.split(f" {text}" if spec.lead_space else text):
-            new = self.tokens_of(word)
-            if out and new and self.joins and (out[-1], new[0]) in self.joins:
-                out = merge_across(out, new, self.joins)
-            else:
-                out += new
+        out = self.plain(f" {text}" if spec.lead_space else text)
         bos = spec.vocab.get(spec.bos) if spec.add_bos and spec.bos else None
         eos = spec.vocab.get(spec.eos) if spec.add_eos and spec.eos else None
         return ([bos] if bos is not None else []) + out + ([eos] if eos is not None else [])
 
 
-#: Tokens that a pull leaves for merges over the end of a line.
-HELD_BACK = 64
+def merged_parts(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """Merges adjacent parts: the pair of the lowest rank first, all its occurrences from the left, until no pair has a rank.
+
+    Parts form a linked list, pairs a heap by rank and place, so n parts take n log n steps.
+    """
+    n = len(parts)
+    heap = [(r, k) for k in range(n - 1) if (r := ranks.get((parts[k], parts[k + 1]))) is not None]
+    if not heap:
+        return parts
+    heapify(heap)
+    after, before = [*range(1, n), -1], list(range(-1, n - 1))
+    while heap:
+        rank = heap[0][0]
+        made = []
+        # A merge may make a pair of a lower rank; that one waits until all occurrences of this pair are merged.
+        while heap and heap[0][0] == rank:
+            k = heappop(heap)[1]
+            right = after[k]
+            if parts[k] and right >= 0 and ranks.get((parts[k], parts[right])) == rank:
+                parts[k] += parts[right]
+                parts[right] = ""
+                after[k] = after[right]
+                if after[k] >= 0:
+                    before[after[k]] = k
+                made += [before[k], k]
+        for k in made:
+            if k >= 0 and parts[k] and after[k] >= 0 and (r := ranks.get((parts[k], parts[after[k]]))) is not None:
+                heappush(heap, (r, k))
+    return [p for p in parts if p]
+
+
+def merge_across(done: list[int], new: Iterable[int], joins: dict[tuple[int, int], int]) -> None:
+    """Appends a word's tokens to ``done``, merging over the border of the words wherever a pair of ids merges; what a merge makes is tried with what stands before it.
+
+    Every merge takes a token away, so the time is that of the tokens appended.
+    """
+    for t in new:
+        done.append(t)
+        while len(done) > 1 and (m := joins.get((done[-2], done[-1]))) is not None:
+            done[-2:] = [m]
+
+
+#: Characters of one line from which a pull encodes its words before the line is complete.
+LONG_LINE = 1 << 16
 
 
 def pull(encoder: Encoder, texts: Iterable[str], size: int) -> Iterator[list[int]]:
     """Tokens of a text that arrives in pieces, ``size`` at a time; the last pull gives the rest.
 
-    A line is encoded once it is complete, as words never span one; tokens that may still merge with those
-    of the next line are held back, so the pulls joined are the tokens of the whole text.
+    The pulls joined are the tokens of the whole text. A line is encoded once it is complete, as words never
+    span one; of a line longer than LONG_LINE the words that nothing still to come can change are encoded
+    before, unless a normalizer or lower case might change them. A merge makes a piece of the vocabulary, so
+    it can take only tokens whose pieces together are shorter than the longest one: those are held back.
     """
-    spec = replace(encoder.spec, add_bos=False, add_eos=False, lead_space=False)
-    inner = Encoder(spec, encoder.keep)
-    ends = [spec.vocab.get(t) if on and t else None for on, t in ((encoder.spec.add_bos, encoder.spec.bos), (encoder.spec.add_eos, encoder.spec.eos))]
+    spec = encoder.spec
+    inner = Encoder(replace(spec, add_bos=False, add_eos=False, lead_space=False), encoder.keep)
+    ends = [spec.vocab.get(t) if on and t else None for on, t in ((spec.add_bos, spec.bos), (spec.add_eos, spec.eos))]
+    length = {i: len(p) for p, i in spec.vocab.items()}
+    longest = max(length.values(), default=0) if inner.joins else 0
+    cuttable = spec.pattern in (PATTERN, PLAIN_PATTERN) and not spec.normalizer and not spec.lower_case and spec.prefix_space
+    # A word is settled by what follows it: one character more, or a special literal or contraction begun.
+    margin = max([4, *map(len, spec.specials)])
     out: list[int] = []
-    held = " " if encoder.spec.lead_space else ""
-
-    def add(line: str) -> None:
-        nonlocal out
-        new = inner(line)
-        if out and new and (out[-1], new[0]) in inner.joins:
-            out = merge_across(out, new, inner.joins)
-        else:
-            out += new
-
+    held, most = " " if spec.lead_space else "", LONG_LINE
     first = [ends[0]] if ends[0] is not None else []
     for text in texts:
         held += text
         *lines, held = held.split("\n")
         for line in lines:
-            add(f"{line}\n")
-        # What a merge may still reach is kept; a merge takes a token of the end and those it then meets.
-        while len(out) > size + HELD_BACK:
-            part, out = (first + out)[:size], (first + out)[size:]
-            first = []
-            yield part
-    add(held)
+            inner.append(out, inner.split(f"{line}\n"))
+        if cuttable and len(held) > most:
+            words = inner.split(held)
+            at, sure = 0, 0
+            while sure + 2 < len(words) and at + len(words[sure]) + margin < len(held):
+                at += len(words[sure])
+                sure += 1
+            inner.append(out, words[:sure])
+            held = held[at:]
+            most = max(LONG_LINE, 2 * len(held))
+        free, open_length = len(out), 0
+        while free and open_length < longest:
+            free -= 1
+            open_length += length.get(out[free], 0)
+        if first and free:
+            out[:0], first, free = first, [], free + len(first)
+        whole = free // size * size
+        for k in range(0, whole, size):
+            yield out[k : k + size]
+        del out[:whole]
+    inner.append(out, inner.split(held))
     out = first + out + ([ends[1]] if ends[1] is not None else [])
     for k in range(0, len(out), size):
         yield out[k : k + size]
 
 
-def merge_across(done: list[int], new: Iterable[int], joins: dict[tuple[int, int], int]) -> list[int]:
-    """Appends a word's tokens, merging over the border of the words wherever a pair of ids merges; a merge is tried again with what stands before it."""
-    at = max(0, len(done) - 1)
-    out = [*done, *new]
-    while at < len(out) - 1:
-        if (m := joins.get((out[at], out[at + 1]))) is not None:
-            out[at : at + 2] = [m]
-            at = max(0, at - 1)
-        else:
-            at += 1
-    return out
-
-
 class Decoder:
     """Decodes tokens with one specification."""
 
     def __init__(self, spec: TokenizerSpec):
         self.spec = spec
         self.pieces = spec.pieces
-        self.debts = continuation_debts(spec)
 
     def raw(self, tokens: Iterable[int | None]) -> bytes:
         get = self.pieces.get
@@ -327,19 +368,24 @@ class Decoder:
         return "".join(out)
 
     def ready(self, tokens: list[int]) -> int:
-        """How many leading tokens end on a character's border: all of them if the sequence is ready."""
+        """How many leading tokens end on a character's border: all of them if the sequence is ready.
+
+        Only the bytes at the end decide, whatever stands before. Vocabularies with byte pieces are always ready.
+        """
         if self.spec.byte_fallback:
             return len(tokens)
-        need = good = 0
-        for k, t in enumerate(tokens):
-            debt = self.debts.get(t, 0)
-            if need + debt >= 0:
-                need += debt
-            if debt == 0:
-                need = 0
-            if need == 0:
-                good = k + 1
-        return good
+        n = len(tokens)
+        while n and open_bytes(self._last_bytes(tokens, n)):
+            n -= 1
+        return n
+
+    def _last_bytes(self, tokens: list[int], n: int) -> bytes:
+        """The bytes of the last of the first n tokens, as many as a character can have or more."""
+        tail = b""
+        while n and len(tail) < 4:
+            n -= 1
+            tail = self.pieces.get(tokens[n], b"") + tail
+        return tail
 
     def trim(self, tokens: list[int]) -> list[int]:
         """Without the last tokens that leave a character open."""
@@ -445,46 +491,109 @@ def load(name: str, vocab: dict[str, int], merges: Iterable[tuple[str, str]], **
 # ---- DataFrames
 
 
+_KINDS = {"array<bigint>": pa.list_(pa.int64()), "string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
 def _array_udf(make: Callable[[], Callable], returns: str):
     """An iterator-style Arrow function: ``make`` builds the worker's function once per task."""
 
     def run(parts):
         f = make()
-        kind = {"array<bigint>": pa.list_(pa.int64()), "string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[returns]
         for part in parts:
-            yield pa.array([f(x) for x in part.to_pylist()], kind)
+            yield pa.array([f(x) for x in part.to_pylist()], _KINDS[returns])
 
     run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return arrow_udf(run, returns)
 
 
-def _shared(spec: TokenizerSpec):
-    """The specification as a broadcast, or itself where there is no session yet."""
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        return lambda: spec
-    held = spark.sparkContext.broadcast(spec)
-    return lambda: held.value
+def flat_lists(parts: Iterable[list[int] | None]) -> pa.Array:
+    """Lists of tokens as an Arrow array, by way of one flat buffer."""
+    flat, ends, null = array("q"), array("i", [0]), []
+    for p in parts:
+        null.append(p is None)
+        flat.extend(p or ())
+        ends.append(len(flat))
+    return pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int64)), mask=pa.array(null) if any(null) else None)
+
+
+#: Specifications broadcast last; the same one is sent once, however many queries use it.
+_SENT: list[tuple[object, TokenizerSpec, object]] = []
+#: Encoders and decoders of a Python worker, which outlive its tasks with the words they have met.
+_BUILT: dict[tuple[int, str], object] = {}
+
+
+class Shared:
+    """A specification on the workers, with one encoder and one decoder each per worker process."""
+
+    def __init__(self, spec: TokenizerSpec):
+        self.key, self.spec, self.held = id(spec), spec, None
+        if (spark := SparkSession.getActiveSession()) is not None:
+            context = spark.sparkContext
+            known = [h for c, s, h in _SENT if c is context and s is spec]
+            if not known:
+                known = [context.broadcast(spec)]
+                _SENT.append((context, spec, known[0]))
+                del _SENT[:-8]
+            self.held = known[0]
+            self.key = self.held._jbroadcast.id() if self.held._jbroadcast is not None else self.key
+
+    def __getstate__(self):
+        return {"key": self.key, "spec": None if self.held is not None else self.spec, "held": self.held}
+
+    def __call__(self) -> TokenizerSpec:
+        return self.spec if self.held is None else self.held.value
+
+    def _built(self, kind: str, make: Callable):
+        if (out := _BUILT.get((self.key, kind))) is None:
+            if len(_BUILT) >= 8:
+                _BUILT.clear()
+            out = _BUILT[(self.key, kind)] = make(self())
+        return out
+
+    def encoder(self) -> Encoder:
+        return self._built("encoder", Encoder)
+
+    def decoder(self) -> Decoder:
+        return self._built("decoder", Decoder)
 
 
 def encode(text: str | Column, spec: TokenizerSpec) -> Column:
     """Tokens of a text column, as array<bigint>."""
-    held = _shared(spec)
-    return _array_udf(lambda: Encoder(held()), "array<bigint>")(text)
+    held = Shared(spec)
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        e = held.encoder()
+        for part in parts:
+            yield flat_lists(map(e, part.to_pylist()))
+
+    run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return arrow_udf(run, "array<bigint>")(text)
+
+
+def recode(tokens: str | Column, source: TokenizerSpec, target: TokenizerSpec) -> Column:
+    """Tokens of one vocabulary as those of another, in one Python stage."""
+    one, other = Shared(source), Shared(target)
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        d, e = one.decoder(), other.encoder()
+        for part in parts:
+            yield flat_lists(e(d(t)) for t in part.to_pylist())
+
+    run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return arrow_udf(run, "array<bigint>")(tokens)
 
 
 def decode(tokens: str | Column, spec: TokenizerSpec) -> Column:
     """Text of a token column."""
-    held = _shared(spec)
-    return _array_udf(lambda: Decoder(held()), "string")(tokens)
+    return _array_udf(Shared(spec).decoder, "string")(tokens)
 
 
 def tokens_ready(tokens: str | Column, spec: TokenizerSpec) -> Column:
     """Whether a sequence ends on a character's border; an empty one does."""
-    held = _shared(spec)
+    held = Shared(spec)
 
     def make():
-        d = Decoder(held())
+        d = held.decoder()
         return lambda t: None if t is None else d.ready(t) == len(t)
 
     return _array_udf(make, "boolean")(tokens)
@@ -492,10 +601,10 @@ def tokens_ready(tokens: str | Column, spec: TokenizerSpec) -> Column:
 
 def trim_tokens(tokens: str | Column, spec: TokenizerSpec) -> Column:
     """The sequence up to its last character's border."""
-    held = _shared(spec)
+    held = Shared(spec)
 
     def make():
-        d = Decoder(held())
+        d = held.decoder()
         return lambda t: None if t is None else d.trim(t)
 
     return _array_udf(make, "array<bigint>")(tokens)
@@ -503,10 +612,10 @@ def trim_tokens(tokens: str | Column, spec: TokenizerSpec) -> Column:
 
 def per_text(column: str | Column, spec: TokenizerSpec, function: Callable, returns: str) -> Column:
     """Any function of (encoder, decoder, value) over a column, built once per task."""
-    held = _shared(spec)
+    held = Shared(spec)
 
     def make():
-        e, d = Encoder(held()), Decoder(held())
+        e, d = held.encoder(), held.decoder()
         return lambda x: None if x is None else function(e, d, x)
 
     return _array_udf(make, returns)(column)
@@ -521,10 +630,10 @@ def encode_by_dictionary(docs: DataFrame, spec: TokenizerSpec, key: str = "doc_i
     from textloom.functions.splitting import words
 
     each = words(docs, key, text, spec.specials, spec.pattern)
-    held = _shared(replace(spec, cross_word=False))
+    held = Shared(replace(spec, cross_word=False))
 
     def make():
-        e = Encoder(held())
+        e = held.encoder()
         return lambda w: list(e.tokens_of(w))
 
     dictionary = each.select("word").distinct().withColumn("tokens", _array_udf(make, "array<bigint>")("word"))
@@ -535,7 +644,7 @@ def encode_by_dictionary(docs: DataFrame, spec: TokenizerSpec, key: str = "doc_i
 
 def lookup(pieces: str | Column, spec: TokenizerSpec) -> Column:
     """Ids of an array of pieces; null for unknown ones."""
-    held = _shared(spec)
+    held = Shared(spec)
 
     def make():
         get = held().vocab.get
@@ -546,7 +655,7 @@ def lookup(pieces: str | Column, spec: TokenizerSpec) -> Column:
 
 def show_pieces(tokens: str | Column, spec: TokenizerSpec) -> Column:
     """The pieces of tokens joined by ``|``, for display."""
-    held = _shared(spec)
+    held = Shared(spec)
 
     def make():
         back = {i: p for p, i in held().vocab.items()}
