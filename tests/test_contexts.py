@@ -53,6 +53,19 @@ def test_pack_contexts(spark):
     assert contexts.pack_contexts(df.where("false"), SPEC, PackSpec(8, "b", unitrim=False), ["k"]).count() == 0
 
 
+def test_start_and_offsets(spark):
+    """Contexts say where in the stream they begin, whatever the overlap."""
+    rows = [(s, k, [2 + (k * 3 + j) % 5 for j in range(k % 9)]) for s in range(2) for k in range(30)]
+    df = spark.createDataFrame(rows, "shard int, k long, tokens array<bigint>")
+    for pack in (PackSpec(8, "b", unitrim=False), PackSpec(8, "b", boundary_begin=True, unitrim=False), PackSpec(8, "b", boundary_overlap=3, unitrim=False), PackSpec(8, None, boundary_overlap=5, unitrim=False)):
+        got = contexts.pack_contexts(df, SPEC, pack, ["k"]).collect()
+        for s in range(2):
+            stream = [t for r in rows if r[0] == s for t in r[2]]
+            mine = sorted((r for r in got if r.shard == s), key=lambda r: r.context_no)
+            assert [r.context_no for r in mine] == list(range(len(mine)))
+            assert all(r.tokens[: 8 - r.n_pad] == stream[r.start : r.start + 8 - r.n_pad] for r in mine)
+
+
 def test_index_sampling_and_shuffle(spark):
     df = spark.createDataFrame([(0, k, [2] * (k + 1)) for k in range(10)], "shard int, path long, tokens array<bigint>")
     index = {r.path: (r.offset, r.tokens) for r in contexts.document_index(df, ["path"]).collect()}

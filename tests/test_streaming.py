@@ -30,3 +30,20 @@ def test_pack_stream_keeps_unfinished_tokens(spark, tmp_path):
     spark.createDataFrame([(0, 3, [6, 7, 8, 9]), (1, 9, None)], schema).coalesce(1).write.mode("append").parquet(src)
     run()
     assert sorted((r.shard, r.context_no, tuple(r.tokens)) for r in spark.read.parquet(out).collect()) == [(0, 0, (1, 2, 3, 4)), (0, 1, (5, 6, 7, 8)), (1, 0, (7, VOCAB['<pad>'], VOCAB['<pad>'], VOCAB['<pad>']))]
+
+
+def test_stream_packs_as_a_batch_does(spark, tmp_path):
+    """With contexts that end on a character's border, where the tokens of one are cut apart."""
+    from textloom.operators.contexts import pack_contexts
+
+    text = ["aé", "日本語 ab", "", "🙂🙂🙂", "b" * 9 + "é"]
+    rows = [(k % 2, k, SPEC.encoder()(t)) for k, t in enumerate(text * 3)]
+    schema = "shard int, doc_id long, tokens array<bigint>"
+    docs = spark.createDataFrame(rows, schema)
+    src = str(tmp_path / "src")
+    spark.createDataFrame([*rows, (0, 99, None), (1, 99, None)], schema).coalesce(1).write.parquet(src)
+    pack = PackSpec(5, "b")
+    columns = ["shard", "context_no", "tokens", "n_pad"]
+    q = pack_stream(spark.readStream.schema(schema).parquet(src), SPEC, pack).writeStream.format("memory").queryName("packed").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(map(tuple, spark.table("packed").select(*columns).collect())) == sorted(map(tuple, pack_contexts(docs, SPEC, pack, ["doc_id"]).select(*columns).collect()))

@@ -1,8 +1,8 @@
 """Packing of documents' tokens into contexts of a fixed size, in order, with padding, indexes, sampling and shuffling.
 
 Documents are dealt to shards of bounded size; within a shard their order is given by sort columns. A
-sorted partition streams through the packer, which keeps no more than the tokens of the current context,
-so neither a long document nor a large shard is gathered anywhere.
+sorted partition streams through the packer, which keeps the unfinished context and the document at hand,
+so a shard of any size is packed in one pass.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.operators.tokenizer import TokenizerSpec, encode
+from textloom.operators.tokenizer import TokenizerSpec, encode, flat_lists, recode
 from textloom.operators.trimming import aligned
 
 #: Documents of a shard, on average, where no shard is given.
@@ -51,15 +51,22 @@ class Packer:
     def __init__(self, size: int, boundary: int | None = None, begin: bool = False, overlap: int = -1, align=None):
         self.size, self.boundary, self.begin, self.overlap, self.align = size, boundary, begin, overlap, align
         self.held: list[int] = []
+        # Where the next context begins in what is held, and how many tokens of the stream went before what is held.
+        self.at = self.gone = 0
 
-    def _cut(self) -> tuple[list[int], int]:
-        """The context at the beginning of what is held, and where the next begins."""
-        context, stop = self.align(self.held, self.size) if self.align else (self.held[: self.size], self.size)
+    @property
+    def position(self) -> int:
+        """Where in the stream the next context begins."""
+        return self.gone + self.at
+
+    def _cut(self, given: list[int]) -> tuple[list[int], int]:
+        """The context at the beginning of some tokens, and where the next begins."""
+        context, stop = self.align(given, self.size) if self.align else (given[: self.size], self.size)
         if stop <= 0:
-            context, stop = self.held[: self.size], self.size
+            context, stop = given[: self.size], self.size
         if self.boundary is None:
             return context, min(self.overlap, stop) if self.overlap > 0 else stop
-        found = [k for k in range(1, stop) if self.held[k] == self.boundary]
+        found = [k for k in range(1, stop) if given[k] == self.boundary]
         if not found:
             return context, stop
         at = found[-1] if self.overlap < 0 else min(found, key=lambda k: (abs(k - self.overlap), k))
@@ -67,17 +74,28 @@ class Packer:
 
     def feed(self, tokens: list[int]) -> Iterator[list[int]]:
         self.held += tokens
-        while len(self.held) > self.size:
-            context, start = self._cut()
+        while len(self.held) - self.at > self.size:
+            context, start = self._cut(self.held[self.at : self.at + 2 * self.size])
             yield context
-            del self.held[:start]
+            self.at += start
+        # Once a sequence, so that its tokens are moved once.
+        del self.held[: self.at]
+        self.gone += self.at
+        self.at = 0
 
     def finish(self) -> Iterator[list[int]]:
         if self.held:
             yield self.held
+        self.gone += len(self.held)
         self.held = []
 
 
+def aligner(spec: TokenizerSpec):
+    """The function that ends a context on a character's border, for a Packer."""
+    e, d = spec.encoder(), spec.decoder()
+    return lambda tokens, size: aligned(e, d, tokens, size)
+
+
 def with_shards(docs: DataFrame, key: str = "doc_id", per_shard: int = SHARD_DOCS) -> DataFrame:
     """Adds ``shard``: a hash of the key over as many shards as keep each near ``per_shard`` documents."""
     n = max(1, math.ceil(docs.count() / per_shard))
@@ -99,7 +117,9 @@ def document_index(docs: DataFrame, order: list[str], path: str = "path", tokens
 
 
 def pack_contexts(docs: DataFrame, spec: TokenizerSpec, pack: PackSpec, order: list[str], tokens: str = "tokens") -> DataFrame:
-    """(shard, context_no, tokens, n_pad) from documents with columns ``shard`` and ``tokens``.
+    """(shard, context_no, start, tokens, n_pad) from documents with columns ``shard`` and ``tokens``.
+
+    ``start`` is where in the shard's stream of tokens a context begins.
 
     ``order`` names the columns that order documents within a shard; rows equal in all of them may come in
     any order. Null tokens count as none. The last context of a shard is padded.
@@ -110,23 +130,21 @@ def pack_contexts(docs: DataFrame, spec: TokenizerSpec, pack: PackSpec, order: l
     size = pack.context_size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align = None
-        if pack.unitrim:
-            e, d = held.value.encoder(), held.value.decoder()
-            align = lambda t, n: aligned(e, d, t[:n], n) if d.ready(t[:n]) == n else aligned(e, d, t[: 2 * n], n)
+        align = aligner(held.value) if pack.unitrim else None
         packer, shard, number, out = None, None, 0, []
 
         def emit(contexts: Iterator[list[int]]) -> None:
             nonlocal number
             for c in contexts:
-                out.append((shard, number, c + [pad] * (size - len(c)), size - len(c)))
+                # The packer stands at the beginning of the context it has just given.
+                out.append((shard, number, packer.position, c))
                 number += 1
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            types = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32()]
+            lists = [c + [pad] * (size - len(c)) for *_, c in out]
+            columns = [pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64()), flat_lists(lists), pa.array([size - len(r[3]) for r in out], pa.int32())]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["shard", "context_no", "tokens", "n_pad"])
+            return pa.RecordBatch.from_arrays(columns, ["shard", "context_no", "start", "tokens", "n_pad"])
 
         for batch in batches:
             for s, t in zip(batch.column("shard").to_pylist(), batch.column("tokens"), strict=True):
@@ -134,7 +152,7 @@ def pack_contexts(docs: DataFrame, spec: TokenizerSpec, pack: PackSpec, order: l
                     if packer:
                         emit(packer.finish())
                     packer, shard, number = Packer(size, boundary, pack.boundary_begin, pack.boundary_overlap, align), s, 0
-                emit(packer.feed(t.as_py() or []))
+                emit(packer.feed(t.values.to_pylist() if t.is_valid else []))
                 if len(out) * size > 1_000_000:
                     yield flush()
         if packer:
@@ -143,7 +161,7 @@ def pack_contexts(docs: DataFrame, spec: TokenizerSpec, pack: PackSpec, order: l
 
     needed = docs.select("shard", *[c for c in order if c not in ("shard", tokens)], F.col(tokens).alias("tokens"))
     spread = needed.repartition("shard").sortWithinPartitions("shard", *order)
-    return spread.select("shard", "tokens").mapInArrow(run, "shard int, context_no bigint, tokens array<bigint>, n_pad int")
+    return spread.select("shard", "tokens").mapInArrow(run, "shard int, context_no bigint, start bigint, tokens array<bigint>, n_pad int")
 
 
 def pad_to(tokens: str | Column, size: int, pad: int) -> Column:
@@ -182,9 +200,9 @@ def context_index(contexts: DataFrame) -> DataFrame:
 
 def retokenize(df: DataFrame, source: TokenizerSpec, target: TokenizerSpec, size: int | None = None, trim: bool = False, tokens: str = "tokens") -> DataFrame:
     """Tokens of one vocabulary as those of another; with a size cut, trimmed to a character's border if wanted, and padded."""
-    from textloom.operators.tokenizer import decode, trim_tokens
+    from textloom.operators.tokenizer import trim_tokens
 
-    out = df.withColumn(tokens, encode(decode(tokens, source), target))
+    out = df.withColumn(tokens, recode(tokens, source, target))
     if size is None:
         return out
     out = out.withColumn(tokens, F.slice(tokens, 1, size))

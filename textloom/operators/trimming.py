@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from itertools import accumulate
 
 import regex
 from pyspark.sql import Column
@@ -12,7 +13,8 @@ from textloom.operators.tokenizer import Decoder, Encoder, TokenizerSpec, per_te
 TOP, BOTTOM, NONE = "top", "bottom", "none"
 
 _SENTENCE = regex.compile(r"""\S[^\n]*?(?:[.!?]+["'”’)\]]*(?=\s|$)|(?=\n)|$)""")
-_JOINED = regex.compile(r"\p{L}[.!?;]\p{L}")
+#: Where a sentence is closed: by a mark and space, by a line's end, or by a mark between two letters.
+_CLOSED = regex.compile(r"""[.!?]+["'”’)\]]*(?=\s)|\n|(?<=\p{L})[.!?;](?=\p{L})""")
 
 
 def lines_within(e: Encoder, d: Decoder, tokens: list[int], direction: str, limit: int) -> list[int]:
@@ -43,59 +45,63 @@ def sentences_within(e: Encoder, d: Decoder, tokens: list[int], direction: str,
         return []
     text = d(tokens)
     spans = [m.span() for m in _SENTENCE.finditer(text)]
-    best = ""
-    for start, end in reversed(spans) if direction == TOP else spans:
+    if direction == TOP:
+        spans.reverse()
+
+    def joined(n: int) -> str:
+        """The first n sentences, from the end if the top is trimmed, as they stand in the text."""
+        if not n:
+            return ""
+        start, end = spans[n - 1]
         if direction == TOP:
-            part = text[start - 1 if start and text[start - 1].isspace() else start :]
-        else:
-            part = text[: end + 1 if text[end : end + 1] == "\n" else end]
-        if len(e(part)) >= limit:
-            break
-        best = part
-    return e(best)
+            return text[start - 1 if start and text[start - 1].isspace() else start :]
+        return text[: end + 1 if text[end : end + 1] == "\n" else end]
+
+    # Sentences joined have about the tokens of each by itself; the exact number decides over the last few.
+    n = total = 0
+    while n < len(spans) and total < limit:
+        total += len(e.plain(text[slice(*spans[n])]))
+        n += 1
+    while n < len(spans) and len(e(joined(n + 1))) < limit:
+        n += 1
+    while n and len(e(joined(n))) >= limit:
+        n -= 1
+    return e(joined(n))
 
 
 def whole_sentences(e: Encoder, d: Decoder, tokens: list[int]) -> list[int]:
-    """Without a last sentence that lacks its punctuation, unless more than a fifth of the text would go."""
+    """Without what stands behind the last sentence end, if the text does not end in punctuation; as it is if more than a fifth of its bytes would go."""
     text = d(tokens)
-    spans = [m.span() for m in _SENTENCE.finditer(text)]
-    if not spans:
-        return tokens
-    start, end = spans[-1]
-    joints = [m.end() for m in _JOINED.finditer(text, start, end)]
-    start = joints[-1] if joints else start
-    last = text[start:end].rstrip()[-1:]
-    kept = text
-    if last and not unicodedata.category(last).startswith("P") and start >= 1:
-        kept = text[: start - 1]
-    kept = kept.strip()
-    if len(kept.encode()) < 0.8 * len(text.encode()):
-        return tokens
-    return e(kept)
+    shown = text.rstrip()
+    if shown and not unicodedata.category(shown[-1]).startswith("P"):
+        ends = [m.end() for m in _CLOSED.finditer(shown)]
+        shown = shown[: ends[-1]] if ends else shown
+    kept = shown.strip()
+    return e(kept) if 5 * len(kept.encode()) >= 4 * len(text.encode()) else tokens
 
 
 def aligned(e: Encoder, d: Decoder, tokens: list[int], size: int) -> tuple[list[int], int]:
     """At most ``size`` tokens that end on a character's border, and how many of those given they stand for.
 
-    What trimming a broken character left free is filled again from the tokens that follow.
+    Where the first ``size`` tokens would break a character, the text of the tokens around is encoded afresh, and
+    the cut is made at the last border where a token given and a fresh one end at the same byte. So shorter
+    spellings make room for more text. Tokens whose bytes are no text end at their last border instead.
     """
-    if len(tokens) == size:
-        return tokens, size
     size = min(size, len(tokens))
-    whole = d.trim(tokens[:size])
-    at = len(whole)
-    if at == size:
-        return whole, at
-    chunk = e(d(whole))
-    room = size - len(chunk)
-    if room > 0:
-        more = d.trim(tokens[at : at + room])
-        at += len(more)
-        chunk = e(d(chunk + more))
-        while chunk and (len(chunk) > size or d.ready(chunk) < len(chunk)):
-            at -= 1
-            chunk = e(d(chunk[:-1]))
-    return chunk, at
+    border = d.ready(tokens[:size])
+    if border == size:
+        return tokens[:size], size
+    given = d.trim(tokens[: 2 * size])
+    raw = d.raw(given)
+    fresh = e.plain(d(given))
+    if d.raw(fresh) != raw:
+        return tokens[:border], border
+    ends = {at: k for k, at in enumerate(accumulate(len(d.raw([t])) for t in given), 1)}
+    cut = (0, 0)
+    for n, at in enumerate(accumulate(len(d.raw([t])) for t in fresh[:size]), 1):
+        if at in ends and (at == len(raw) or raw[at] & 0xC0 != 0x80):
+            cut = (n, ends[at])
+    return fresh[: cut[0]], cut[1]
 
 
 def trim_newlines(tokens: str | Column, spec: TokenizerSpec, direction: str, limit: int) -> Column:

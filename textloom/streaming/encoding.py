@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textloom.functions.text import sanitize
-from textloom.operators.contexts import Packer, PackSpec
-from textloom.operators.tokenizer import TokenizerSpec, encode
+from textloom.operators.contexts import Packer, PackSpec, aligner
+from textloom.operators.tokenizer import Shared, TokenizerSpec, encode
 
 
 def text_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,10 +36,12 @@ def pack_stream(stream: DataFrame, spec: TokenizerSpec, pack: PackSpec, order: s
     size = pack.context_size
     pad = spec.single_token(pack.pad) if pack.pad else spec.pad_token
     boundary = spec.single_token(pack.boundary) if pack.boundary else None
+    shared = Shared(spec)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, number = state.get if state.exists else ([], 0)
-        packer = Packer(size, boundary, pack.boundary_begin, pack.boundary_overlap)
+        align = aligner(shared()) if pack.unitrim else None
+        packer = Packer(size, boundary, pack.boundary_begin, pack.boundary_overlap, align)
         packer.held = [int(t) for t in held]
         rows = []
         docs = sorted((r for p in parts for r in zip(p[order], p["tokens"], strict=True)), key=lambda r: r[0])
