@@ -5,8 +5,6 @@ Every function takes a column or its name and returns null for null; the empty t
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,13 +55,18 @@ def sanitize(text: ColumnLike) -> Column:
 
 
 def repair_garbled(text: ColumnLike) -> Column:
-    """Replaces the garbled forms of the known characters in one pass per form, longest first.
+    """Replaces the garbled forms of the known characters in one pass: at each place the longest form counts, and what a replacement makes is not looked at again.
 
-    Texts without any character a form can begin with skip the replacements.
+    Texts without any character a form can begin with skip the pass.
     """
-    forms = sorted(garbled_forms().items(), key=lambda x: (-len(x[0]), x[0]))
-    fixed = reduce(lambda t, f: F.replace(t, F.lit(f[0]), F.lit(f[1])), forms, col(text))
-    return F.when(col(text).rlike("[ÃÂÅÆËâ]"), fixed).otherwise(col(text))
+    forms = garbled_forms()
+    leads = "".join(sorted({f[0] for f in forms}))
+    longest_first = "|".join(sorted(forms, key=lambda f: (-len(f), f)))
+    parts = F.regexp_extract_all(col(text), F.lit(f"(?s){longest_first}|[^{leads}]+|."), 0)
+    known = F.create_map(*[F.lit(x) for pair in forms.items() for x in pair])
+    most = max(map(len, forms))
+    mended = F.transform(parts, lambda p: F.when(F.char_length(p) <= most, F.coalesce(F.element_at(known, p), p)).otherwise(p))
+    return F.when(col(text).rlike(f"[{leads}]"), F.array_join(mended, "")).otherwise(col(text))
 
 
 def replace_all(text: ColumnLike, replacements: dict[str, str]) -> Column:
