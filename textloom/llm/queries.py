@@ -70,7 +70,7 @@ def p7_stretches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return wrong_labels(language_stretches(table(spark, d, "documents"), table(spark, d, "lang_samples")))
+    return wrong_labels(table(spark, d, "documents"), table(spark, d, "lang_samples"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
