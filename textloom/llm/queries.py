@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom.llm.garbled import repair_lines
 from textloom.llm.languages import language_stretches, wrong_labels
 from textloom.llm.leakage import find_leaks
-from textloom.llm.lookalikes import canonical_form, lookalike_pairs
+from textloom.llm.lookalikes import canonical_form, lookalike_classes, lookalike_pairs
 from textloom.llm.packing import pack_documents
 from textloom.llm.splitting import oversized_kinds, split_oversized
 from textloom.util import table
@@ -37,6 +37,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike_pairs(p2_values(spark, d), table(spark, d, "vocab"))
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The class of each value that has look-alikes, with the number of its links."""
+    return lookalike_classes(p2_values(spark, d), table(spark, d, "vocab"))
+
+
 def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Every line and every normalizer with its canonical form, once per different value."""
     values = p2_values(spark, d).where("value is not null").distinct()
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
     "p2_found": p2_found,
+    "p2_classes": p2_classes,
     "p2_canonical": p2_canonical,
     "p3_found": p3_found,
     "p3_repaired": p3_repaired,
