@@ -5,9 +5,9 @@ exact chain of encodings of each word that holds more than ASCII; the chain is t
 must decode strictly, and it must be more plausible than what stood there. What was lost for good
 (replacement characters) is found, too, but not restored.
 
-Bounds of the training data of the bigrams: all of the labelled clean sentences plus at most ``SAMPLE_ROWS``
-rows of the unlabelled text, drawn by a hash of their id. The word counts a judgement rests on are those of
-all lines: Spark counts them, and each line gets the counts that its words may ask for by a join.
+The bigrams are trained on the clean sentences alone, at most ``CLEAN_ROWS`` of them, garbled by every chain. The
+word counts a judgement rests on are those of all lines: Spark counts them, and each line gets the counts that its
+words may ask for by a join.
 """
 
 from __future__ import annotations
@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 from textloom.llm.lookalikes import LOOKALIKES, look
 from textloom.util import spread
 
-#: Rows of unlabelled text from which clean examples for the bigrams are taken.
-SAMPLE_ROWS = 20_000
+#: Clean sentences that the classifier is trained on, at most; the table of them is fixed and far smaller.
+CLEAN_ROWS = 20_000
 #: Buckets of the hashed byte bigrams.
 BUCKETS = 8192
 #: Summed log-ratio of word counts from which single-byte encodings count as proven.
 PROOF = 2.0
+#: How much less likely than clean text, as a logarithm, the bigrams of a word with lost characters may be: the words it may have been decide then.
+LOSSY_MARGIN = 6.0
 
 #: Encodings in which text was written and read; a chain is write, read, write, read, ... and may end in lower-casing.
 WRITTEN = ("cp1252", "cp1250", "cp1251", "koi8-r", "iso8859-2", "mac-roman", "cp437", "cp850", "cp866")
@@ -40,6 +42,8 @@ READ = ("latin-1", "cp1252", "cp1250", "cp1251", "mac-roman", "cp437", "cp850",
 #: The first bytes of the letters and signs of the nine languages in UTF-8, read as latin-1.
 LEADS = "ÂÃÄÅÐÑâ"
 
+#: The letters beyond ASCII of the nine languages.
+ALPHABET = set("äöüßàâæçéèêëîïôœùûÿáíóúñìòãõąćęłńśźżабвгдежзийклмнопрстуфхцчшщъыьэюяё")
 #: Encodings in which letters, and not signs, stand where the second bytes of UTF-8 are.
 CYRILLIC = ("iso8859-5", "koi8-r", "cp866")
 UTF8 = [("utf-8", r) for r in READ]
@@ -57,7 +61,7 @@ SINGLE = [c for c in CHAINS if c[0] != "utf-8"]
 
 _NON_ASCII = regex.compile(r"[^\x00-\x7f]+")
 _NON_ASCII_ONE = regex.compile(r"[^\x00-\x7f]")
-_WORD = regex.compile(r"[\p{L}\p{M}]+")
+_CONTROL = regex.compile("[\x80-\x9f]")
 _SPLIT = regex.compile(r"[ \n\t\r]+")
 
 
@@ -93,6 +97,8 @@ _LATER = {e: frozenset(c for c, b in UNREADS[e].items() if 0x80 <= b < 0xC0) | f
 
 def garble(text: str, chain: tuple[str, ...]) -> str | None:
     """The text as the chain garbles it, or None where its characters can't be written."""
+    if chain in LOSSY:
+        return LOSSY[chain](text)
     for k in range(0, len(chain) - 1, 2):
         try:
             raw = text.encode(chain[k])
@@ -103,6 +109,16 @@ def garble(text: str, chain: tuple[str, ...]) -> str | None:
     return text.lower() if len(chain) % 2 else text
 
 
+#: Chains that lose characters for good: written as ASCII with question marks, read as UTF-8 with replacement
+#: characters, and UTF-8 read as latin-1 without its controls, which often leaves only the first byte of a character.
+LOSSY = {
+    ("ascii", "?"): lambda text: _NON_ASCII_ONE.sub("?", text),
+    ("utf-8", "\ufffd"): lambda text: _NON_ASCII_ONE.sub("\ufffd", text),
+    ("utf-8", "latin-1", "without controls"): lambda text: _CONTROL.sub("", text.encode("utf-8", "surrogatepass").decode("latin-1")),
+}
+MARKED, REPLACED, STRIPPED = LOSSY
+
+
 def _strict(raw: bytes, encoding: str) -> str | None:
     try:
         return raw.decode(encoding)
@@ -167,10 +183,17 @@ def ungarble(word: str, chain: tuple[str, ...]) -> str | None:
     return word
 
 
-def features(word: str) -> list[int]:
-    """Hashed byte bigrams of a word, framed by spaces; ASCII-only bigrams say nothing of an encoding and are left out."""
+def features(word: str, marks: bool = False) -> list[int]:
+    """Hashed byte bigrams of a word, framed by spaces. Of ASCII-only bigrams those with a question mark may tell of lost characters, if wanted; others say nothing of an encoding."""
     raw = f" {word} ".encode("utf-8", "surrogatepass")
-    return [zlib.crc32(raw[k : k + 2]) % BUCKETS for k in range(len(raw) - 1) if raw[k] > 127 or raw[k + 1] > 127]
+    return [zlib.crc32(raw[k : k + 2]) % BUCKETS for k in range(len(raw) - 1) if raw[k] > 127 or raw[k + 1] > 127 or (marks and 63 in raw[k : k + 2])]
+
+
+def usual(word: str) -> bool:
+    """Whether a word has letters of the nine languages only, and not of two alphabets."""
+    letters = [c for c in word.lower() if c.isalpha()]
+    cyrillic = sum("\u0400" <= c < "\u0530" for c in letters)
+    return cyrillic in (0, len(letters)) and all(c.isascii() or c in ALPHABET for c in letters)
 
 
 def words_of(text: str) -> list[str]:
@@ -195,61 +218,55 @@ class GarbleModel:
 
     table: np.ndarray | None = None
     chains: list[tuple[str, ...] | None] = field(default_factory=list)
-    seen: Counter = field(default_factory=Counter)
     letters: set[str] = field(default_factory=set)
+    # How often words were seen, by their core.
     cores: Counter = field(default_factory=Counter)
     # Words with question marks kept, and the same with every non-ASCII character as a question mark.
     marked: Counter = field(default_factory=Counter)
     lossy: Counter = field(default_factory=Counter)
 
     @classmethod
-    def train(cls, clean: Iterable[str], unlabelled: Iterable[str]) -> GarbleModel:
+    def train(cls, clean: Iterable[str], seen: Iterable[str] = ()) -> GarbleModel:
+        """The classifier from clean sentences, garbled by every chain. The words of these and of further texts are counted."""
         model = cls()
         good: Counter = Counter()
         for text in clean:
             good.update(words_of(text))
             good.update(words_of(text.upper()))
-        model.seen = Counter(good)
-        for text in unlabelled:
-            model.seen.update(w for w in words_of(text) if "�" not in w)
-        chars = Counter(c for w, n in model.seen.items() for c in set(w) for _ in range(min(n, 3)) if ord(c) > 127)
-        alphabet = {c for w in good for c in w}
+        counted = good + Counter(w for text in seen for w in words_of(text) if "\ufffd" not in w)
         common = "–—‘’“”„«»…€£©®°±²³½¼¾№™·§ØøÐðµ¿¡×"
-        model.letters = {c for c in chars if c in alphabet or c in common} | set(common)
+        model.letters = {c for w in good for c in w if ord(c) > 127} | set(common)
         # Letters of Western and Central European languages and of Russian.
         model.letters |= {chr(k) for k in (*range(0xC0, 0x180), *range(0x410, 0x450), 0x401, 0x451) if chr(k).isalpha()}
         model.letters |= {x for c in model.letters for x in (c.lower(), c.upper()) if len(x) == 1}
         sources = Counter({w: min(n, 5) for w, n in good.items() if not w.isascii()})
-        extra = {w: n for w, n in model.seen.items() if not w.isascii() and n >= 3 and all(c.isascii() or c in model.letters for c in w)}
-        for w, n in extra.items():
-            sources[w] = max(sources[w], min(n, 20))
         for sign in common:
             for w in (sign, f"{sign}12", f"12{sign}C", f"a{sign}b", f"({sign}5)"):
                 sources[w] += 1
         counts = [np.full(BUCKETS, 0.05)]
-        for w, n in sources.items():
-            for f in features(w):
+        for w, n in (*sources.items(), *((w, min(n, 5)) for w, n in good.items() if w.isascii() and "?" in w)):
+            for f in features(w, marks=True):
                 counts[0][f] += n
         for w in list(good)[:4000]:
             for d in _disguises(w):
                 for f in features(d):
                     counts[0][f] += 0.2
         model.chains = [None]
-        for chain in CHAINS:
+        for chain in (*CHAINS, *LOSSY):
             c = np.full(BUCKETS, 0.05)
             made = 0
             for w, n in sources.items():
                 g = garble(w, chain)
                 if g is not None and g != w:
                     made += 1
-                    for f in features(g):
+                    for f in features(g, marks=chain == MARKED):
                         c[f] += n
             if made:
                 counts.append(c)
                 model.chains.append(chain)
         stacked = np.stack(counts)
         model.table = np.log(stacked / stacked.sum(axis=1, keepdims=True)).astype(np.float32)
-        for w, n in model.seen.items():
+        for w, n in counted.items():
             for key in counted_as(w):
                 model.counts_of(key)[key[1:]] += n
         return model
@@ -266,22 +283,40 @@ class GarbleModel:
         """Whether a word is spelt with other characters but looks like a known one, and what it may have been, seen n times, is not far more common."""
         return (shown := look(word)) != word and n < 30 * self.seen_as(shown)
 
+    def lossy_class(self, word: str) -> tuple[str, ...] | None:
+        """The lossy chain that the classifier takes a word for rather than for clean text; None if for none that can have made it."""
+        if "\ufffd" in word:
+            able = [REPLACED]
+        elif "?" in word:
+            able = [MARKED]
+        elif not word.isascii() and all(c.isascii() or c in LEADS for c in word):
+            able = [STRIPPED]
+        else:
+            return None
+        scores = self.table[:, features(word, marks=True)].sum(axis=1)
+        best = max((c for c in able if c in self.chains), key=lambda c: scores[self.chains.index(c)], default=None)
+        return best if best and scores[self.chains.index(best)] > scores[0] - LOSSY_MARGIN else None
+
     def lost_evidence(self, text: str) -> float:
-        """Evidence that characters of a text were replaced by question marks, or that only the first byte of each is left.
+        """Evidence that characters of a text are lost: that they were replaced, or that only the first byte of each is left.
 
-        A word counts by how much more common the words are that would look like it with their non-ASCII
-        characters lost than the word as it stands. A question mark that ends a known word may be one, and so may
-        one that stands alone, unless the sentence goes on in lower case.
+        The classifier picks the words; a replacement character proves itself. Any other word counts by how much more
+        common the words are that would look like it with their non-ASCII characters lost than the word as it
+        stands. A question mark that ends a known word may be one, and so may one that stands alone, unless the
+        sentence goes on in lower case.
         """
         words = _TOKEN.findall(text)
         shouted = text.upper() == text
         total = 0.0
         for w in dict.fromkeys(words):
+            chain = self.lossy_class(w)
+            if chain == REPLACED:
+                total += PROOF
+            if chain not in (MARKED, STRIPPED):
+                continue
             key = marked_core(w)
-            if "?" not in w:
-                # Of UTF-8 read as latin-1 without its controls, only these stay of a character.
-                if w.isascii() or sum(c.isascii() and c.isalpha() for c in w) < 2 or not all(c.isascii() or c in LEADS for c in w):
-                    continue
+            if chain == STRIPPED and sum(c.isascii() and c.isalpha() for c in w) < 2:
+                continue
             if key == "?":
                 at = words.index(w)
                 behind = words[at + 1] if at + 1 < len(words) else ""
@@ -298,6 +333,11 @@ class GarbleModel:
                 total += max(0.0, float(np.log((n + 0.5) / (literal + 1.0))))
         return total
 
+    def likelihoods(self, word: str) -> dict[tuple[str, ...], float]:
+        """The classifier's log-likelihood of a word by each chain."""
+        scores = self.table[:, features(word)].sum(axis=1)
+        return {c: float(x) for c, x in zip(self.chains, scores, strict=True) if c is not None}
+
     def candidates(self, word: str) -> Iterator[tuple[tuple[str, ...], str]]:
         """The chains that can have garbled a word, each with the word before it, in the order of their likelihood."""
         scores = self.table[:, features(word)].sum(axis=1)
@@ -305,7 +345,7 @@ class GarbleModel:
         single = all(len(run) == 1 for run in _NON_ASCII.findall(word))
         for k in np.argsort(-scores):
             chain = self.chains[k]
-            if chain is None:
+            if chain is None or chain in LOSSY:
                 continue
             if single if chain[0] == "utf-8" else scores[k] < scores[0]:
                 continue
@@ -320,7 +360,7 @@ class GarbleModel:
     def asked(self, word: str) -> set[str]:
         """Keys of the counts that judging and restoring a word may ask for, whatever the counts are."""
         out = set()
-        if "?" in word or (_SUSPECT.search(word) and all(c.isascii() or c in LEADS for c in word)):
+        if self.lossy_class(word) in (MARKED, STRIPPED):
             key = marked_core(word)
             out |= {f"m{key}", f"l{_NON_ASCII_ONE.sub('?', key)}", f"c{key.rstrip('?')}"}
         return out if word.isascii() else out | {f"c{c}" for c in self._cores_asked(word)}
@@ -332,7 +372,7 @@ class GarbleModel:
             if chain[0] == "utf-8":
                 if not before.isascii():
                     out |= self._cores_asked(before)
-                if not needs_count(chain):
+                if not needs_count(chain) and usual(before):
                     return out
         if look(word) == word or _CONTROL.search(word):
             # What a text's other words prove is tried on this one, too.
@@ -346,11 +386,12 @@ class GarbleModel:
         """What chains may have garbled a word.
 
         Chains are tried in the order of their likelihood. Strict UTF-8 that gives nothing but characters
-        of the known languages is proof. Of single-byte encodings, where almost anything decodes, each
+        of the known languages is proof, first that which gives letters of the nine. Of single-byte encodings, where almost anything decodes, each
         possible chain is kept with its evidence: how much more common the word before is than what
         stands there. A word that looks like a known one is intended.
         """
         open_chains = {}
+        rare = None
         known = self.seen_as(word)
         for chain, before in self.candidates(word):
             n = self.seen_as(before)
@@ -358,12 +399,16 @@ class GarbleModel:
                 if needs_count(chain) and (n < 3 or self.disguised(word, n)):
                     continue
                 again = self.judge(before) if not before.isascii() else None
-                return Verdict(again.chain + chain, again.before) if again and again.chain else Verdict(chain, before)
+                found = Verdict(again.chain + chain, again.before) if again and again.chain else Verdict(chain, before)
+                if usual(found.before):
+                    return found
+                rare = rare or found
+                continue
             # A single letter is evidence only if it is far more common; a single sign never is.
             tells = len(core(before)) >= 2 or (core(word).isalpha() and core(before).isalpha() and n >= 30 * (known + 1))
             evidence = np.log((n + 0.5) / (known + 1.0)) if n and tells and not self.disguised(word, n) else 0.0
             open_chains[chain] = (before, max(0.0, float(evidence)), n)
-        return Verdict(None, None, open_chains)
+        return rare or Verdict(None, None, open_chains)
 
 
 @dataclass
@@ -389,16 +434,19 @@ class Repairer:
             self.known[w] = hit
         return hit
 
-    def by_controls(self, words: list[str]) -> tuple[str, ...]:
-        """The single-byte chain that best explains words with controls; cp1252 read as latin-1 if none does better."""
-
-        def fit(chain: tuple[str, ...]) -> float:
-            before = [ungarble(w, chain) for w in words]
-            if any(b is None or any(ord(c) > 127 and c not in self.model.letters for c in b) for b in before):
-                return -np.inf
-            return round(float(sum(np.log(self.model.seen_as(b) + 0.5) for b in before)), 6)
-
-        return max([("cp1252", "latin-1"), *SINGLE], key=fit)
+    def by_controls(self, words: list[str]) -> tuple[str, ...] | None:
+        """The single-byte chain that makes the most common words of all words with controls, of those the classifier prefers to clean text for each; then the likeliest. If none fits all words, the usual one; none if the classifier prefers none."""
+        fits: dict[tuple[str, ...], list[float]] = {}
+        for w in words:
+            of = self.model.likelihoods(w)
+            for chain, before in self.model.candidates(w):
+                if chain[0] != "utf-8":
+                    fit = fits.setdefault(chain, [0, 0.0, 0.0])
+                    fit[0] += 1
+                    fit[1] += float(np.log(self.model.seen_as(before) + 0.5))
+                    fit[2] += of[chain]
+        whole = {c: (round(f[1], 6), c == ("cp1252", "latin-1"), f[2]) for c, f in fits.items() if f[0] == len(words)}
+        return max(whole, key=whole.get) if whole else ("cp1252", "latin-1") if fits else None
 
     def __call__(self, text: str) -> tuple[bool, str, str | None, bool]:
         """(garbled, restored text, chain or None, lost): lost if characters are gone for good.
@@ -412,23 +460,24 @@ class Repairer:
         proven: Counter = Counter()
         evidence: Counter = Counter()
         best: Counter = Counter()
+        odd: Counter = Counter()
         for w in {w for w in _TOKEN.findall(text) if not w.isascii()}:
             verdict = self.word(w)
             if verdict.chain:
                 proven[verdict.chain] += 1
-            for chain, (_before, e, n) in verdict.open.items():
+            for chain, (before, e, n) in verdict.open.items():
+                odd[chain] += not usual(before)
                 if e > 0:
                     evidence[chain] += e
                     best[chain] = max(best[chain], n)
-        lost = "�" in text
-        # Of encodings that agree on all words of a text the more usual one is named.
-        likely = max(evidence, key=lambda c: (round(evidence[c], 6), -_RANK[c])) if evidence else None
+        # Of encodings that agree on all words that tell, the one that makes usual words of the others counts, then the more usual one.
+        likely = max(evidence, key=lambda c: (round(evidence[c], 6), -odd[c], -_RANK[c])) if evidence else None
         single = likely if likely and evidence[likely] >= PROOF and best[likely] >= 3 else None
         # Nobody writes controls of the upper half. If nothing else proves a chain, the one that makes the most common words is taken.
         if single is None and not proven and _CONTROL.search(text):
             single = self.by_controls([w for w in _TOKEN.findall(text) if _CONTROL.search(w)])
         if not proven and single is None:
-            lost = lost or _SUSPECT.search(text) is not None and self.model.lost_evidence(text) >= PROOF
+            lost = _SUSPECT.search(text) is not None and self.model.lost_evidence(text) >= PROOF
             return lost, text, None, lost
 
         def fix(m: regex.Match) -> str:
@@ -449,11 +498,11 @@ class Repairer:
             return w if kept else before
 
         main = min(proven, key=lambda c: (-proven[c], c)) if proven else single
-        return True, _TOKEN.sub(fix, text), ">".join(main), lost
+        # Beside characters that were restored only replacement characters are sure to be lost.
+        return True, _TOKEN.sub(fix, text), ">".join(main), any(self.model.lossy_class(w) == REPLACED for w in _TOKEN.findall(text))
 
 
-_SUSPECT = regex.compile(f"[?{LEADS}]")
-_CONTROL = regex.compile("[\x80-\x9f]")
+_SUSPECT = regex.compile(f"[?\ufffd{LEADS}]")
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -482,19 +531,9 @@ def core(word: str) -> str:
 _TOKEN = regex.compile(r"[^ \n\t\r]+")
 
 
-def bounded_sample(df: DataFrame, key: str, column: str, rows: int = SAMPLE_ROWS) -> list[str]:
-    """At most ``rows`` non-null values of a column, drawn by a hash of the key; all of them if there are no more."""
-    held = df.where(F.col(column).isNotNull())
-    total = df.count()
-    if total > rows:
-        held = held.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * 0.95 * rows / total))
-    return [r[0] for r in held.select(column).limit(rows).collect()]
-
-
-def train_garble_model(lines: DataFrame, clean: DataFrame, rows: int = SAMPLE_ROWS) -> GarbleModel:
-    """The classifier, from clean sentences (a fixed table, column ``text``) and a bounded sample of the lines."""
-    sentences = [r[0] for r in clean.where("text is not null").select("text").limit(rows).collect()]
-    return GarbleModel.train(sentences, bounded_sample(lines, "line_id", "text", rows))
+def train_garble_model(clean: DataFrame, rows: int = CLEAN_ROWS) -> GarbleModel:
+    """The classifier, from at most ``rows`` sentences known to be clean (a fixed table, column ``text``)."""
+    return GarbleModel.train(r[0] for r in clean.where("text is not null").select("text").limit(rows).collect())
 
 
 REPAIRED = "line_id bigint, text string, restored string, chain string, lost boolean"
@@ -527,7 +566,7 @@ def repair_lines(lines: DataFrame, clean: DataFrame, model: GarbleModel | None =
     over all of ``lines``; of a given ``model`` only bigrams and letters are used.
     """
     spark = lines.sparkSession
-    model = model or train_garble_model(lines, clean)
+    model = model or train_garble_model(clean)
     held = spark.sparkContext.broadcast(GarbleModel(model.table, model.chains, letters=model.letters))
     given = lines.where(f"text is not null and {_OPEN.format('text')}").select("line_id", "text")
     # Texts are told apart by a hash; those that share one get the counts for the words of both.
