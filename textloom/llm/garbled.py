@@ -374,7 +374,7 @@ class GarbleModel:
                     out |= self._cores_asked(before)
                 if not needs_count(chain) and usual(before):
                     return out
-        if look(word) == word or _CONTROL.search(word):
+        if look(word) == word or _CONTROL.search(word) or not usual(word):
             # What a text's other words prove is tried on this one, too.
             for chain in SINGLE:
                 before = ungarble(word, chain)
@@ -490,8 +490,10 @@ class Repairer:
             hit = verdict.open.get(single)
             if hit and hit[1] > 0:
                 return hit[0]
-            # A word that is no evidence is restored along with the others, unless it hides something on purpose.
-            before = ungarble(w, single) if single and look(w) == w else None
+            # A word that is no evidence is restored along with the others, unless it hides something on purpose and is not known otherwise.
+            before = ungarble(w, single) if single else None
+            if before is not None and look(w) != w and (usual(w) or not usual(before) or not self.model.seen_as(before)):
+                return w
             if before is None or any(ord(c) > 127 and c not in self.model.letters for c in set(before) - set(w)):
                 return w
             kept = len(core(w)) > 1 and self.model.seen_as(w) > self.model.seen_as(before)
