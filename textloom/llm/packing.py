@@ -3,7 +3,9 @@
 A grouping genetic algorithm works on blocks of documents: crossover injects whole well-filled contexts
 of one parent into the other, contexts that would hold a document twice are dissolved, and the displaced
 documents are put back by best fit. Each block evolves on several islands in parallel; between epochs
-the best solution of an island migrates to its neighbour. Only a document longer than a context is cut.
+the best solution of an island migrates to its neighbour. A block's emptiest contexts are then dissolved,
+and their documents meet those of other blocks in blocks of their own, until one block is left; so at the
+end a single context of all may be far from full. Only a document longer than a context is cut.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import base64
 import os
 import random
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,8 @@ GPT2_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 #: Documents of a block, on average; a block is one unit of work.
 BLOCK_ITEMS = 3000
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 30, 6
+#: Documents that evolve at least, where full contexts are set aside; share of a block's contexts, the emptiest, that go on to the next level.
+EVOLVED_ITEMS, EMPTIEST = 300, 0.1
 
 
 def _gpt2(folder: str):
@@ -133,35 +137,60 @@ def mutate(a: Bins, rng: random.Random) -> Bins:
     return child
 
 
+def perfect(bins: Bins) -> bool:
+    """Whether all contexts but one at most are full to the last token, so that nothing is left to improve."""
+    return sum(r > 0 for r in bins.room) <= 1
+
+
+def _grouped(assigned: list[int]) -> list[list[int]]:
+    groups: dict[int, list[int]] = {}
+    for i, b in enumerate(assigned):
+        groups.setdefault(b, []).append(i)
+    return list(groups.values())
+
+
+def best_fit_decreasing(sizes: list[int], capacity: int, items: Iterable[int] | None = None) -> Bins:
+    """The packing that evolution begins with and has to beat."""
+    bins = Bins(sizes, capacity)
+    bins.best_fit(sorted(range(len(sizes)) if items is None else items, key=lambda i: (-sizes[i], i)))
+    return bins
+
+
 def evolve(sizes: list[int], capacity: int, population: list[list[int]], seed: int, generations: int = GENERATIONS) -> list[list[int]]:
     """One epoch on one island. population: for each solution the context of each item; returned best first.
 
-    Ends early when the number of contexts equals what the sum of sizes needs at least.
+    Full contexts of the best solution are set aside, as far as EVOLVED_ITEMS items are left; among the rest
+    contexts are joined, dissolved and filled again, first for fewer of them, then for all room in as few as
+    can be. Ends early when all contexts but one are full.
     """
     rng = random.Random(seed)
-    least = -(-sum(sizes) // capacity)
 
-    def built(assigned: list[int]) -> Bins:
-        groups: dict[int, list[int]] = {}
-        for i, b in enumerate(assigned):
-            groups.setdefault(b, []).append(i)
+    def bins_of(groups: Iterable[list[int]]) -> Bins:
         bins = Bins(sizes, capacity)
-        for items in groups.values():
+        for items in groups:
             bins.add_bin(items)
         return bins
 
-    def ordered(key) -> Bins:
+    given = sorted((bins_of(_grouped(p)) for p in population), key=fitness, reverse=True) or [best_fit_decreasing(sizes, capacity)]
+    best = given[0]
+    order = sorted(range(len(best.members)), key=lambda k: (best.room[k] == 0, rng.random()))
+    free, aside = set(), []
+    for k in order:
+        if best.room[k] or len(free) < EVOLVED_ITEMS:
+            free.update(best.members[k])
+        else:
+            aside.append(best.members[k])
+
+    def seeded() -> Bins:
         bins = Bins(sizes, capacity)
-        bins.best_fit(sorted(range(len(sizes)), key=key))
+        bins.best_fit(sorted(free, key=lambda i: (-sizes[i] * rng.uniform(0.7, 1.3), i)))
         return bins
 
-    alive = [built(p) for p in population]
-    if not alive:
-        alive = [ordered(lambda i: (-sizes[i], i))]
-        alive += [ordered(lambda i: (-sizes[i] * rng.uniform(0.7, 1.3), i)) for _ in range(POPULATION - 1)]
-    scored = sorted(((fitness(b), k, b) for k, b in enumerate(alive)), key=lambda x: (x[0], -x[1]), reverse=True)[:POPULATION]
+    alive = [bins_of([x for items in b.members if (x := [i for i in items if i in free])]) for b in given[:POPULATION]]
+    alive += [seeded() for _ in range(POPULATION - len(alive))]
+    scored = sorted(((fitness(b), k, b) for k, b in enumerate(alive)), key=lambda x: (x[0], -x[1]), reverse=True)
     for generation in range(generations):
-        if -scored[0][0][0] <= least:
+        if perfect(scored[0][2]):
             break
         a, b = rng.sample(scored, 2) if len(scored) > 1 else (scored[0], scored[0])
         child = crossover(*((a[2], b[2]) if a[0] >= b[0] else (b[2], a[2])), rng)
@@ -173,13 +202,22 @@ def evolve(sizes: list[int], capacity: int, population: list[list[int]], seed: i
     out = []
     for _, _, bins in scored:
         assigned = [0] * len(sizes)
-        for b, items in enumerate(bins.members):
+        for b, items in enumerate([*aside, *bins.members]):
             for i in items:
                 assigned[i] = b
         out.append(assigned)
     return out
 
 
+def settled(sizes: np.ndarray, assigned: np.ndarray, capacity: int) -> np.ndarray:
+    """The context of each item, or -1 for items of the emptiest contexts, which meet those of other blocks."""
+    if not len(assigned):
+        return assigned
+    room = capacity - np.bincount(assigned, weights=sizes)
+    gone = [b for b in np.argsort(-room, kind="stable")[: max(1, int(len(room) * EMPTIEST))] if room[b] > 0]
+    return np.where(np.isin(assigned, gone), -1, assigned)
+
+
 ISLAND = "block bigint, island int, sizes binary, population binary, elite binary"
 
 
@@ -209,9 +247,24 @@ def pack_counts(counts: DataFrame, capacity: int, islands: int = ISLANDS, epochs
     held = materialize(counts.where("n_tokens > 0").withColumn("full", F.floor(F.col("n_tokens") / capacity).cast("int")).withColumn("rest", (F.col("n_tokens") % capacity).cast("int")), "counts")
     long = held.where("full > 0").select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece_no"))
     full = long.select("doc_id", "piece_no", (F.col("piece_no").cast("bigint") * capacity).alias("start"), F.lit(capacity).cast("bigint").alias("n_tokens"), F.format_string("full-%d-%d", "doc_id", "piece_no").alias("context_id"))
-    items = held.where("rest > 0")
-    blocks = max(1, round(items.count() / BLOCK_ITEMS))
-    gathered = items.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("rest", "doc_id", "full"))).alias("items"))
+    result = full
+    items = held.where("rest > 0").select("doc_id", "rest", "full")
+    level, blocks = 0, max(1, round(items.count() / BLOCK_ITEMS))
+    while True:
+        placed = materialize(_pack_level(items, level, blocks, capacity, islands, epochs, generations), "placed")
+        here = placed.where("bin >= 0")
+        rest = here.select("doc_id", F.col("full").alias("piece_no"), (F.col("full").cast("bigint") * capacity).alias("start"), F.col("rest").cast("bigint").alias("n_tokens"), F.format_string("mixed-%d-%d-%d", F.lit(level), "block", "bin").alias("context_id"))
+        result = result.unionByName(rest)
+        if blocks == 1:
+            return result
+        # A level takes about a tenth of the contexts of the one before, so there are few.
+        items = placed.where("bin < 0").select("doc_id", "rest", "full")
+        level, blocks = level + 1, min(blocks // 2, max(1, round(items.count() / BLOCK_ITEMS)))
+
+
+def _pack_level(items: DataFrame, level: int, blocks: int, capacity: int, islands: int, epochs: int, generations: int) -> DataFrame:
+    """(block, doc_id, rest, full, bin): the contexts of the items of each block; -1 for those that go on to the next level, if there is one."""
+    gathered = items.groupBy(F.pmod(F.xxhash64("doc_id", F.lit(level)), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("rest", "doc_id", "full"))).alias("items"))
     # A block is bounded by the hash that fills it, so its items fit in a row.
     gathered = materialize(gathered, "blocks")
     as_bytes = F.pandas_udf(lambda s: s.map(lambda a: np.asarray(a, np.int32).tobytes()), "binary")
@@ -219,7 +272,7 @@ def pack_counts(counts: DataFrame, capacity: int, islands: int = ISLANDS, epochs
     state = state.select("block", "island", "sizes", F.lit(None).cast("binary").alias("population"), F.lit(None).cast("binary").alias("migrant"))
     for epoch in range(epochs):
         # A few islands a task, so that starting a worker weighs little.
-        spread = state.repartition(max(1, min(blocks * islands // 3, 4096)), "block", "island")
+        spread = state.repartition(max(1, blocks * islands // 3), "block", "island")
         state = materialize(spread.mapInPandas(_epoch(capacity, epoch, generations), ISLAND), "islands")
         elite = state.select("block", ((F.col("island") + 1) % islands).alias("island"), F.col("elite").alias("migrant"))
         if epoch + 1 < epochs:
@@ -227,13 +280,17 @@ def pack_counts(counts: DataFrame, capacity: int, islands: int = ISLANDS, epochs
 
     def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"block": part.block, "island": part.island, "n": [int(np.frombuffer(e, np.int32).max(initial=-1)) + 1 for e in part.elite], "bins": [np.frombuffer(e, np.int32) for e in part.elite]})
-
-    solved = state.select("block", "island", "elite").mapInPandas(best, "block bigint, island int, n int, bins array<int>")
-    chosen = solved.groupBy("block").agg(F.min_by("bins", F.struct("n", "island")).alias("bins"))
+            rows = []
+            for block, island, raw, elite in zip(part.block, part.island, part.sizes, part.elite, strict=True):
+                sizes, bins = np.frombuffer(raw, np.int32), np.frombuffer(elite, np.int32)
+                least = float(np.square(np.bincount(bins, weights=sizes) / capacity).sum()) if len(bins) else 0.0
+                rows.append((block, island, int(bins.max(initial=-1)) + 1, -least, settled(sizes, bins, capacity) if blocks > 1 else bins))
+            yield pd.DataFrame(rows, columns=["block", "island", "n", "uneven", "bins"])
+
+    solved = state.select("block", "island", "sizes", "elite").mapInPandas(best, "block bigint, island int, n int, uneven double, bins array<int>")
+    chosen = solved.groupBy("block").agg(F.min_by("bins", F.struct("n", "uneven", "island")).alias("bins"))
     placed = gathered.join(chosen, "block").select("block", F.explode(F.arrays_zip("items", "bins")).alias("x"))
-    rest = placed.select(F.col("x.items.doc_id").alias("doc_id"), F.col("x.items.full").alias("piece_no"), (F.col("x.items.full").cast("bigint") * capacity).alias("start"), F.col("x.items.rest").cast("bigint").alias("n_tokens"), F.format_string("mixed-%d-%d", "block", "x.bins").alias("context_id"))
-    return full.unionByName(rest)
+    return placed.select("block", "x.items.doc_id", "x.items.rest", "x.items.full", F.col("x.bins").alias("bin"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = 1024, tokenizers: str = TOKENIZERS, **options) -> DataFrame:
