@@ -71,6 +71,32 @@ def test_compact_folder(spark, tmp_path):
     assert manifest.agg(F.sum("rows")).first()[0] == 43 * 7
 
 
+def test_committed_folder_holds_the_manifest_and_nothing_else(spark, tmp_path):
+    """Containers of lost attempts stay outside, and moving again changes nothing."""
+    write(f"{tmp_path}/in", 9)
+    files = compaction.list_parquet(spark, f"{tmp_path}/in").withColumn("container", F.concat(F.lit("c/"), F.col("size") % 3))
+    (tmp_path / "out-attempts").mkdir()
+    pq.write_table(pa.table({"k": [1]}), tmp_path / "out-attempts" / "lost.parquet")
+    manifest = compaction.compact_parquet(spark, f"{tmp_path}/in", f"file://{tmp_path}/out", files=files).cache()
+    targets = {r.target for r in manifest.collect()}
+    assert {f"file://{tmp_path}/out/{n}" for n in os.listdir(tmp_path / "out")} == targets and len(targets) == manifest.select("container").distinct().count()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 63
+    batch = pa.RecordBatch.from_arrays([pa.array([t.replace("/out/", "/out-attempts/") for t in targets])], ["target"])
+    assert set(next(iter(compaction._moved(iter([batch]), f"file://{tmp_path}/out"))).column(0).to_pylist()) == targets
+
+
+def test_files_are_the_planned_containers(spark, monkeypatch):
+    rows = [(f"b {k % 3}", f"x/{k}.txt", 1000 + k, False, T0) for k in range(60)]
+    files = listing(spark, rows)
+    lines = spark.createDataFrame([], "line_id long, bucket string, path string, line_no int, text string, hex string, read_at timestamp")
+    planned = compaction.plan_containers(compaction.small_files(files), 5000)
+    stored, manifest = compaction.store_small_files(files, lines, 5000)
+    assert manifest.select("target").distinct().count() == manifest.select("container").distinct().count() == planned.select("container").distinct().count() > 3
+    per = stored.groupBy("container").agg(F.count_distinct(F.col("_metadata.file_path")).alias("files"))
+    assert per.where("files > 1").count() == 0 and manifest.count() > manifest.select("target").distinct().count()
+    assert sorted(map(tuple, stored.select("container", "path").collect())) == sorted(map(tuple, planned.select("container", "path").collect()))
+
+
 def test_empty_folder(spark, tmp_path):
     (tmp_path / "in").mkdir()
     assert compaction.compact_parquet(spark, f"{tmp_path}/in", f"file://{tmp_path}/out").count() == 0

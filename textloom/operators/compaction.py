@@ -7,6 +7,7 @@ and again over all of them.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -54,7 +55,7 @@ def small_files(listing: DataFrame, suffixes: tuple[str, ...] = (".txt", ".md",
 
 
 def plan_containers(files: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
-    """Adds ``container``: files of a bucket whose sizes fill about ``target`` bytes share one.
+    """Adds ``container``: files of a bucket whose sizes fill about ``target`` bytes share one. Its name can be that of a file.
 
     Each bucket is cut into hashed groups of some containers' worth of bytes, and a running sum within
     the group assigns its files; so a bucket that holds a third of all files is planned by many tasks,
@@ -66,11 +67,16 @@ def plan_containers(files: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
     joined = files.join(total, F.col("bucket") == F.col("of_bucket")).drop("of_bucket")
     grouped = joined.withColumn("group", F.pmod(F.xxhash64("path"), "groups"))
     before = F.sum("size").over(Window.partitionBy("bucket", "group").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    name = F.format_string("%s-%05d-%05d", F.col("bucket"), F.col("group"), F.floor(before / target))
+    safe = F.concat(F.regexp_replace("bucket", r"[^A-Za-z0-9_.-]", "_"), F.lit("."), F.lower(F.hex(F.xxhash64("bucket"))))
+    bucket = F.when(F.col("bucket").rlike(r"^[A-Za-z0-9_.-]*$"), F.col("bucket")).otherwise(safe)
+    name = F.format_string("%s-%05d-%05d", bucket, F.col("group"), F.floor(before / target))
     return grouped.withColumn("container", name).select("bucket", "path", "size", "container")
 
 
-COPIED = "target string, source string, rows bigint, blocks bigint, bytes bigint, fingerprint string"
+#: Fragments in which the files of a container are written at once, before their blocks are copied into it.
+FRAGMENTS = 4
+
+COPIED = "container string, target string, source string, rows bigint, blocks bigint, bytes bigint, fingerprint string"
 
 
 def _open(path: str):
@@ -80,10 +86,11 @@ def _open(path: str):
     return system, inside
 
 
-def _copy(paths: Iterator[pa.RecordBatch], out_dir: str, target: int) -> Iterator[pa.RecordBatch]:
-    """Copies the files of one partition into as few containers as hold them, one series per schema."""
+def _copy(batches: Iterator[pa.RecordBatch], out_dir: str, target: int) -> Iterator[pa.RecordBatch]:
+    """Copies the files of one partition, sorted by container, into one file per container and schema, or into as few as hold those without a container."""
     open_files: dict[str, list] = {}
     done = []
+    current = None
 
     def finish(print_: str) -> None:
         sink, built, path, sources = open_files.pop(print_)
@@ -97,30 +104,53 @@ def _copy(paths: Iterator[pa.RecordBatch], out_dir: str, target: int) -> Iterato
             raise ValueError(f"{path} does not hold what was copied into it")
         if sum(s[1] for s in sources) != again.rows or sum(s[2] for s in sources) != blocks:
             raise ValueError(f"{path} and its sources differ in rows or blocks")
-        done.extend((path, *s, print_) for s in sources)
-
-    for batch in paths:
-        for path, size in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist(), strict=True):
+        done.extend((current, path, *s, print_) for s in sources)
+
+    for batch in batches:
+        for container, path, size in zip(*(batch.column(c).to_pylist() for c in ("container", "path", "size")), strict=True):
+            if container != current:
+                for key in list(open_files):
+                    finish(key)
+                current = container
             system, inside = _open(path)
             with system.open_input_file(inside) as f:
                 footer = read_footer(f, size)
                 key = footer.fingerprint
                 if key not in open_files:
-                    # A name of its own for every attempt: what a lost task left is never listed.
-                    to = f"{out_dir}/block-{uuid.uuid4().hex}.parquet"
+                    # A name of its own for every attempt: what a lost task left is never committed.
+                    label = re.sub(r"[^A-Za-z0-9_.-]", "_", container) if container is not None else "block"
+                    to = f"{out_dir}/{label}-{uuid.uuid4().hex}.parquet"
                     to_system, to_inside = _open(to)
                     sink = to_system.open_output_stream(to_inside)
                     open_files[key] = [sink, BlockFile(sink), to, []]
                 _sink, built, _to, sources = open_files[key]
                 copied = built.append(f, footer)
                 sources.append((path, footer.rows, len(footer.blocks), copied))
-            if built.at >= target:
+            if container is None and built.at >= target:
                 finish(key)
     for key in list(open_files):
         finish(key)
-    columns = list(zip(*done, strict=True)) or [[]] * 6
-    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["target", "source", "rows", "blocks", "bytes", "fingerprint"])
+    columns = list(zip(*done, strict=True)) or [[]] * 7
+    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["container", "target", "source", "rows", "blocks", "bytes", "fingerprint"])
+
+
+def _moved(batches: Iterator[pa.RecordBatch], out_dir: str) -> Iterator[pa.RecordBatch]:
+    """Moves copied containers into the folder of committed ones; one that a former attempt has moved stays there."""
+    from pyarrow import fs
+
+    for batch in batches:
+        targets = []
+        for path in batch.column("target").to_pylist():
+            to = f"{out_dir}/{path.rsplit('/', 1)[1]}"
+            system, inside = _open(path)
+            _, to_inside = _open(to)
+            if system.get_file_info(inside).type == fs.FileType.File:
+                system.move(inside, to_inside)
+            elif system.get_file_info(to_inside).type != fs.FileType.File:
+                raise ValueError(f"{path} is gone and was not committed")
+            targets.append(to)
+        yield pa.RecordBatch.from_arrays([pa.array(targets, pa.string())], ["target"])
 
 
 def list_parquet(spark: SparkSession, directory: str) -> DataFrame:
@@ -129,41 +159,42 @@ def list_parquet(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("path", F.col("length").alias("size"))
 
 
-def compact_parquet(spark: SparkSession, directory: str, out_dir: str, target: int = TARGET_BYTES) -> DataFrame:
+def compact_parquet(spark: SparkSession, directory: str, out_dir: str, target: int = TARGET_BYTES, files: DataFrame | None = None) -> DataFrame:
     """Consolidates the Parquet files under a folder into files of about ``target`` bytes under another.
 
-    Returns the manifest: one row per source, with the container that holds its blocks. The manifest is
-    written before it is returned and is the commit: a container of a lost attempt is in no row, so no
-    record is lost or doubled. Files of different schemas never share a container. An empty folder gives
-    an empty manifest.
+    files: (container, path, size) if it is planned which files share a container; each then is one file, or one
+    per schema. Returns the manifest: one row per source, with the container that holds its blocks. Containers are
+    copied beside ``out_dir`` and checked; only those of the manifest are moved into it, so it holds nothing of
+    lost attempts, and no record is lost or doubled. Files of different schemas never share a file. An empty
+    folder gives an empty manifest.
     """
-    system, inside = _open(out_dir)
-    system.create_dir(inside)
-    files = list_parquet(spark, directory)
-    total = files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
-    tasks = max(1, min(total["n"], -(-total["bytes"] // (4 * target))))
-    spread = files.repartition(int(tasks), F.xxhash64("path"))
-    manifest = materialize(spread.mapInArrow(lambda it: _copy(it, out_dir, target), COPIED), "manifest")
-    held = manifest.agg(F.count_distinct("source").alias("sources"), F.count("*").alias("n")).first()
+    attempts = f"{out_dir.rstrip('/')}-attempts"
+    for folder in (out_dir, attempts):
+        system, inside = _open(folder)
+        system.create_dir(inside)
+    if files is None:
+        files = list_parquet(spark, directory).select(F.lit(None).cast("string").alias("container"), "path", "size")
+    total = files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("n"), F.count_distinct("container").alias("containers")).first()
+    tasks = max(1, min(total["n"], max(total["containers"], -(-total["bytes"] // target))))
+    dealt = files.repartition(int(tasks), F.coalesce(F.xxhash64("container"), F.lit(0)), F.when(F.col("container").isNull(), F.xxhash64("path"))).sortWithinPartitions("container", "path")
+    copied = materialize(dealt.select("container", "path", "size").mapInArrow(lambda it: _copy(it, attempts, target), COPIED), "copied")
+    held = copied.agg(F.count_distinct("source").alias("sources"), F.count("*").alias("n")).first()
     if held["sources"] != total["n"] or held["n"] != total["n"]:
         raise ValueError(f"{total['n']} files were listed, {held['sources']} were consolidated, in {held['n']} rows")
-    return manifest
-
-
-def read_compacted(spark: SparkSession, manifest: DataFrame, schema) -> DataFrame:
-    """Reads the containers of a manifest, and nothing else that may lie beside them. Containers are few by design."""
-    targets = [r[0] for r in manifest.select("target").distinct().collect()]
-    return spark.read.schema(schema).parquet(*targets) if targets else spark.createDataFrame([], schema)
+    moved = materialize(copied.select("target").distinct().mapInArrow(lambda it: _moved(it, out_dir.rstrip("/")), "target string"), "committed")
+    name = lambda c: F.substring_index(c, "/", -1)
+    return copied.withColumn("name", name("target")).drop("target").join(moved.withColumn("name", name("target")), "name").drop("name")
 
 
 def store_small_files(listing: DataFrame, lines: DataFrame, target: int = TARGET_BYTES) -> tuple[DataFrame, DataFrame]:
     """Puts the small files of a listing, with their lines, into few large Parquet files.
 
     Returns the stored files (container, bucket, path, size, lines), read back from the consolidated
-    files, and the manifest of the consolidation. Lines are those delivered for small files; each is
-    stored exactly once, with its file: of several deliveries of a ``line_id`` the newest holds, ties by
-    content. A file holds less than SMALL_BYTES bytes, so its lines fit in a row. Lines of paths that are
-    not small files, and those without an id, are not stored; files without lines hold none.
+    files, and the manifest of the consolidation. Each container is written in several fragments at once, whose
+    blocks are then copied into one file. Lines are those delivered for small files; each is stored exactly once,
+    with its file: of several deliveries of a ``line_id`` the newest holds, ties by content. A file holds less than
+    SMALL_BYTES bytes, so its lines fit in a row. Lines of paths that are not small files, and those without an
+    id, are not stored; files without lines hold none.
     """
     spark = listing.sparkSession
     planned = materialize(plan_containers(small_files(listing), target), "plan")
@@ -180,15 +211,24 @@ def store_small_files(listing: DataFrame, lines: DataFrame, target: int = TARGET
     held = once.groupBy("bucket", "path", "container", "size").agg(F.sort_array(F.collect_list(line)).alias("lines"))
     held = held.select("container", "bucket", "path", "size", "lines")
     fragments = scratch_path(spark, "fragments")
-    held.repartition("container").sortWithinPartitions("container", "path").write.parquet(fragments)
-    manifest = compact_parquet(spark, fragments, scratch_path(spark, "containers"), target)
-    stored = read_compacted(spark, manifest, held.schema)
-    rows = manifest.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    if rows != planned.count():
-        raise ValueError(f"{planned.count()} files were planned, {rows} are stored")
+    # The planned name is a column of the files and the name of their folder.
+    dealt = held.withColumn("of", F.col("container")).withColumn("fragment", F.pmod(F.xxhash64("path"), F.lit(FRAGMENTS)))
+    dealt.repartition("container", "fragment").sortWithinPartitions("container", "path").drop("fragment").write.partitionBy("of").parquet(fragments)
+    manifest = compact_parquet(spark, fragments, where := scratch_path(spark, "containers"), target, _fragments(spark, fragments))
+    stored = spark.read.schema(held.schema).parquet(where)
+    rows, n = manifest.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0], planned.count()
+    if rows != n:
+        raise ValueError(f"{n} files were planned, {rows} are stored")
     return stored, manifest
 
 
+def _fragments(spark: SparkSession, directory: str) -> DataFrame:
+    """(container, path, size) of fragments written in a folder per container."""
+    found = list_parquet(spark, directory)
+    folder = F.regexp_extract("path", r"/of=([^/]*)/[^/]*$", 1)
+    return found.select(folder.alias("container"), "path", "size")
+
+
 def stored_lines(stored: DataFrame) -> DataFrame:
     """(line_id, container, bucket, path, line_no, text, hex) of the stored files, each line once."""
     each = stored.select("container", "bucket", "path", F.explode("lines").alias("l"))
