@@ -93,7 +93,7 @@ def test_files_are_the_planned_containers(spark, monkeypatch):
     stored, manifest = compaction.store_small_files(files, lines, 5000)
     assert manifest.select("target").distinct().count() == manifest.select("container").distinct().count() == planned.select("container").distinct().count() > 3
     per = stored.groupBy("container").agg(F.count_distinct(F.col("_metadata.file_path")).alias("files"))
-    assert per.where("files > 1").count() == 0 and manifest.count() > manifest.select("target").distinct().count()
+    assert per.where("files > 1").count() == 0 and manifest.count() >= manifest.select("target").distinct().count()
     assert sorted(map(tuple, stored.select("container", "path").collect())) == sorted(map(tuple, planned.select("container", "path").collect()))
 
 
