@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from textloom.operators import contexts, ordering, tokenizer, vocabularies
 from textloom.operators.contexts import PackSpec
-from textloom.operators.tokenizer import TOKENIZERS, TokenizerSpec, decode
+from textloom.operators.tokenizer import TOKENIZERS, TokenizerSpec
 from textloom.sources.resources import load_folder
 from textloom.sources.texts import list_texts, read_texts
-from textloom.sources.token_files import TokenFiles
+from textloom.sources.token_files import COMMITTED, TokenFiles, decode_files, token_index
 from textloom.functions.text import repair_garbled
+from textloom.util import materialize
 
 
 def load_tokenizer(name: str, tokenizers: str = TOKENIZERS) -> TokenizerSpec:
@@ -72,13 +73,8 @@ def parser() -> argparse.ArgumentParser:
 def tokenize(spark: SparkSession, a: argparse.Namespace) -> int:
     """Returns the number of tokens written; 0 if the output is newer than all inputs."""
     spark.dataSource.register(TokenFiles)
-    if not a.retokenize:
-        try:
-            old = list_texts(spark, a.output, (".tokens",))
-            if ordering.up_to_date(list_texts(spark, a.input), old):
-                return 0
-        except Exception:  # noqa: BLE001 - no output yet
-            pass
+    if not a.retokenize and _is_written(spark, a.output) and ordering.up_to_date(list_texts(spark, a.input), list_texts(spark, a.output, (".tokens",))):
+        return 0
     spec = load_tokenizer(a.tokenizer, a.tokenizers)
     if a.exclude:
         spec = spec.without(a.exclude.split(","))
@@ -87,19 +83,27 @@ def tokenize(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.repair_encoding:
         docs = docs.withColumn("text", repair_garbled("text"))
     docs = docs.withColumn("shard", F.pmod(F.xxhash64("path"), F.lit(a.shards)).cast("int")) if a.shards else contexts.with_shards(docs, "path")
-    tokens = contexts.tokenize_docs(docs, spec, pack)
     order = ["rank", "line_no", "path"]
-    contexts.document_index(tokens, order).write.mode("overwrite").json(f"{a.output}.docs")
-    packed = contexts.sample_contexts(contexts.pack_contexts(tokens, spec, pack, order), a.sampling)
+    # Encoded once, for the index of documents and the contexts.
+    tokens = materialize(contexts.tokenize_docs(docs, spec, pack).select("shard", *order, "tokens"), "tokens")
+    packed = contexts.pack_contexts(tokens, spec, pack, order)
+    held = contexts.sample_contexts(packed, a.sampling)
     if a.shuffle is not None:
-        packed = contexts.shuffle_contexts(packed, a.shuffle)
-    packed, seen = contexts.packing_metrics(packed)
-    packed.write.format("token_files").option("wide", str(a.uint32 or spec.wide).lower()).mode("overwrite").save(a.output)
-    contexts.context_index(packed).write.mode("overwrite").json(f"{a.output}.contexts")
+        held = contexts.shuffle_contexts(held, a.shuffle).withColumnRenamed("shard", "of_shard")
+    held, seen = contexts.packing_metrics(held)
+    held.write.format("token_files").option("wide", str(a.uint32 or spec.wide).lower()).mode("overwrite").save(a.output)
+    contexts.document_index(tokens, order).write.mode("overwrite").json(f"{a.output}.docs")
+    token_index(spark, a.output).write.mode("overwrite").json(f"{a.output}.contexts")
     print(json.dumps(seen.get))
     return seen.get["tokens"] or 0
 
 
+def _is_written(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder holds a committed job's token files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{COMMITTED}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def main(arguments: list[str] | None = None) -> int:
     a = parser().parse_args(arguments)
     if a.command == "repl":
@@ -117,10 +121,10 @@ def main(arguments: list[str] | None = None) -> int:
     else:
         spark.dataSource.register(TokenFiles)
         spec = load_tokenizer(a.tokenizer, a.tokenizers)
-        held = spark.read.format("token_files").option("wide", str(a.uint32).lower()).option("context_size", a.context).load(a.input)
         if a.command == "decode":
-            held.select("path", "context_no", decode("tokens", spec).alias("text")).sort("path", "context_no").select("text").write.mode("overwrite").text(a.output)
+            decode_files(spark, a.input, a.output, spec, a.uint32, a.context)
         else:
+            held = spark.read.format("token_files").option("wide", str(a.uint32).lower()).option("context_size", a.context).load(a.input)
             target = load_tokenizer(a.to, a.tokenizers)
             out = contexts.retokenize(held, spec, target, a.context, a.unitrim)
             out.select("tokens").write.format("token_files").option("wide", str(a.to_uint32 or target.wide).lower()).mode("overwrite").save(a.output)

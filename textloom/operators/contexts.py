@@ -116,6 +116,20 @@ def document_index(docs: DataFrame, order: list[str], path: str = "path", tokens
     return counted.select("shard", "path", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("offset"), "tokens")
 
 
+def document_places(index: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(shard, path, offset, tokens, context_no, at): the document index with the context in which each document begins, and where in it.
+
+    contexts: (shard, context_no, start) of pack_contexts; with an overlap the last context that holds the
+    beginning counts. A document without a context, as one of a sampled-out one, has the context before it.
+    """
+    both = contexts.select("shard", F.col("start").alias("offset"), F.lit(0).alias("kind"), "context_no", F.lit(None).cast("string").alias("path"), F.lit(None).cast("bigint").alias("tokens"))
+    both = both.unionByName(index.select("shard", "offset", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("context_no"), F.col("path").cast("string").alias("path"), "tokens"))
+    before = Window.partitionBy("shard").orderBy("offset", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    begun = F.last(F.when(F.col("kind") == 0, F.struct("context_no", "offset")), ignorenulls=True).over(before)
+    placed = both.withColumn("c", begun).where("kind = 1")
+    return placed.select("shard", "path", "offset", "tokens", F.col("c.context_no").alias("context_no"), (F.col("offset") - F.col("c.offset")).alias("at"))
+
+
 def pack_contexts(docs: DataFrame, spec: TokenizerSpec, pack: PackSpec, order: list[str], tokens: str = "tokens") -> DataFrame:
     """(shard, context_no, start, tokens, n_pad) from documents with columns ``shard`` and ``tokens``.
 
