@@ -46,7 +46,7 @@ def test_scans_read_what_they_need(spark, data):
     assert "ReadSchema: struct<text:string>" in plan
 
 
-@pytest.mark.parametrize("name", ["files_all_by_size", "files_all_by_path"])
+@pytest.mark.parametrize("name", ["files_by_size", "files_by_path"])
 def test_whole_listing_in_order(spark, data, duck, name):
     got = [tuple(r) for r in QUERIES[name](spark, data).collect()]
     assert len(got) > 100 and got == duck.execute(SQL[name]).fetchall()

@@ -112,7 +112,7 @@ def document_index(docs: DataFrame, order: list[str], path: str = "path", tokens
     """(shard, path, offset, tokens): where in its shard's stream each document begins, and its length."""
     n = F.size(tokens).cast("bigint")
     before = Window.partitionBy("shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    counted = docs.select("shard", F.col(path).alias("path"), *[c for c in order if c not in ("shard", path)], n.alias("tokens"))
+    counted = docs.select("shard", F.col(path).alias("path"), *[c for c in order if c not in ("shard", "path")], n.alias("tokens"))
     return counted.select("shard", "path", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("offset"), "tokens")
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from textloom.functions import splitting, text
 from textloom.functions.splitting import PATTERN
 from textloom.operators.ordering import newest, sort_files
-from textloom.sources.texts import TEXT_JOIN, json_texts
-from textloom.util import table
+from textloom.sources.texts import TEXT_JOIN, json_texts, list_texts, object_texts, read_texts, text_objects, write_lines
+from textloom.util import scratch_path, table
 
 
 def quoted(s: str) -> str:
@@ -107,19 +107,39 @@ def json_harvest(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.array_join(json_texts(line), TEXT_JOIN).alias("joined"))
 
 
-def json_join(spark: SparkSession, d: str) -> DataFrame:
-    """One text per JSON-lines file, its lines' texts joined by a space in their order."""
+def _corpus(spark: SparkSession, d: str) -> str:
+    """The lines of the table as JSON-lines files of their paths, in the shared folder; returns the folder."""
+    folder = scratch_path(spark, "corpus")
     lines = table(spark, d, "encode_lines").where("text is not null").select("path", "line_no", F.to_json(F.struct("text")).alias("line")).distinct()
-    parsed = lines.select("path", "line_no", F.get_json_object("line", "$.text").alias("text"))
-    gathered = parsed.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("all"))
-    return gathered.select("path", F.array_join(F.transform("all", lambda x: x.text), " ").alias("joined"))
+    return write_lines(lines, folder)
+
+
+def json_join(spark: SparkSession, d: str) -> DataFrame:
+    """The objects of a store under a key prefix, one text each: written as files, read back."""
+    folder = _corpus(spark, d)
+    found = object_texts(spark, folder)
+    return found.select(_inside(folder).alias("path"), F.col("text").alias("joined"))
+
+
+def read_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of a folder of JSON-lines files, each line one."""
+    return read_texts(spark, _corpus(spark, d)).select("path", F.col("line_no"), "text")
+
+
+def list_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The text files under a folder with their sizes, the largest first."""
+    folder = _corpus(spark, d)
+    return sort_files(list_texts(spark, folder), "size_descending").select(_inside(folder).alias("path"), "size")
+
+
+def _inside(folder: str) -> Column:
+    return F.regexp_extract("path", folder.rsplit("/", 1)[1] + "/(.*)$", 1)
 
 
 def list_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Objects under a key prefix with the suffixes that are read."""
     files = table(spark, d, "path_infos").where("not dir")
-    key = F.regexp_replace(text.split_location("path")["key"], r"^(\./)+", "")
-    held = files.select("bucket", key.alias("key")).where("startswith(key, 'feeds/') and (endswith(key, '.txt') or endswith(key, '.jsonl'))")
-    return held.distinct()
+    return text_objects(files.select("bucket", F.regexp_replace(text.split_location("path")["key"], r"^(\./)+", "").alias("key")), "feeds/").distinct()
 
 
 def newest_text(spark: SparkSession, d: str) -> DataFrame:
@@ -131,22 +151,11 @@ def newest_directory(spark: SparkSession, d: str) -> DataFrame:
 
 
 def files_by_size(spark: SparkSession, d: str) -> DataFrame:
-    """The hundred largest files; a top-k, so the limit is the feature."""
-    files = table(spark, d, "path_infos").where("size is not null").select("path", "size").distinct()
-    return sort_files(files, "size_descending").limit(100)
-
-
-def files_by_path(spark: SparkSession, d: str) -> DataFrame:
-    """The first hundred paths; a top-k, so the limit is the feature."""
-    return sort_files(table(spark, d, "path_infos").select("path").distinct(), "name_ascending").limit(100)
-
-
-def files_all_by_size(spark: SparkSession, d: str) -> DataFrame:
     """The whole listing, the largest first, paths without a size last."""
     return sort_files(table(spark, d, "path_infos").select("path", "size").distinct(), "size_descending")
 
 
-def files_all_by_path(spark: SparkSession, d: str) -> DataFrame:
+def files_by_path(spark: SparkSession, d: str) -> DataFrame:
     """The whole listing by path."""
     return sort_files(table(spark, d, "path_infos").select("path").distinct(), "name_ascending")
 
@@ -160,16 +169,20 @@ def size_rollup(spark: SparkSession, d: str) -> DataFrame:
     return docs.rollup("lang", "source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"), F.grouping_id().cast("bigint").alias("level"))
 
 
-QUERIES = {f.__name__: f for f in (sanitize_documents, repair_garbled_lines, normalize_quotes, newline_mode, byte_alphabet_words, json_escapes, boundary_arguments, split_locations, word_split, word_freq, word_cache_rate, word_split_specials, trimmed_words, literal_positions, character_classes, json_harvest, json_join, list_objects, newest_text, newest_directory, files_by_size, files_by_path, files_all_by_size, files_all_by_path, files_shuffled, size_rollup)}
-
+QUERIES = {f.__name__: f for f in (sanitize_documents, repair_garbled_lines, normalize_quotes, newline_mode, byte_alphabet_words, json_escapes, boundary_arguments, split_locations, word_split, word_freq, word_cache_rate, word_split_specials, trimmed_words, literal_positions, character_classes, json_harvest, json_join, read_corpus, list_corpus, list_objects, newest_text, newest_directory, files_by_size, files_by_path, files_shuffled, size_rollup)}
 
-def _nested(forms: list[tuple[str, str]], inner: str) -> str:
-    for a, b in forms:
-        inner = f"replace({inner}, {quoted(a)}, {quoted(b)})"
-    return inner
 
-
-_FORMS = sorted(text.garbled_forms().items(), key=lambda x: (-len(x[0]), x[0]))
+# Independent of the operator: bytes 0x80 to 0x9f read as these characters, others as that of their number; at each place a
+# stretch that is the reading of a known character's bytes gives that character, two bytes and three alike.
+_HIGH = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+_REPAIR = f"""
+    with known as (select unnest(string_split({quoted(text.REPAIRED_CHARACTERS)}, '')) as c),
+    raw as (select c, list_transform(range(0, octet_length(encode(c))), lambda i: ('0x' || substr(hex(encode(c)), 2 * i + 1, 2))::int) as b from known),
+    form as (select c, array_to_string(list_transform(b, lambda x: case when x between 128 and 159 then substr({quoted(_HIGH)}, x - 127, 1) else chr(x) end), '') as bad from raw),
+    forms as (select map_from_entries(list((bad, c))) as m, list(distinct bad) as all_bad, string_agg(distinct bad, '|' order by bad desc) filter (length(bad) = 3) || '|' || string_agg(distinct bad, '|' order by bad desc) filter (length(bad) = 2) as pattern from form),
+    line as (select distinct line_id, text from encode_lines where text is not null)
+    select line_id, case when regexp_matches(text, '[ÂÃÅÆËâ]') then array_to_string(list_transform(regexp_extract_all(text, pattern || '|(?s:.)'), lambda p: coalesce(m[p], p)), '') else text end as repaired from line, forms
+"""
 _BYTES = "[" + ", ".join(quoted(c) for c in text.byte_characters()) + "]"
 #: Words of a text, line by line, in SQL.
 SQL_WORDS = f"flatten(list_transform(regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+'), lambda s: regexp_extract_all(s, {quoted(PATTERN)})))"
@@ -188,7 +201,7 @@ SQL = {
         a as (select doc_id, replace(translate(regexp_replace(replace(replace(t, chr(13), ''), '\n', chr(10)), '\n+', chr(10), 'g'), chr(9), ' '), ' :', ':') as t from r)
         select doc_id, array_to_string(list_transform(string_split(t, chr(10)), lambda s: trim(regexp_replace(s, '[\t-\r ]+', ' ', 'g'), ' ' || chr(160) || chr(5760) || chr(8192) || chr(8193) || chr(8194) || chr(8195) || chr(8196) || chr(8197) || chr(8198) || chr(8199) || chr(8200) || chr(8201) || chr(8202) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288) || chr(133))), chr(10)) as clean from a
     """,
-    "repair_garbled_lines": f"select line_id, case when regexp_matches(text, '[ÃÂÅÆËâ]') then {_nested(_FORMS, 'text')} else text end as repaired from (select distinct line_id, text from encode_lines where text is not null)",
+    "repair_garbled_lines": _REPAIR,
     "normalize_quotes": """select doc_id, lower(translate(replace(text, '…', '...'), '‘’“”', '''''""')) as plain from documents where text is not null""",
     "newline_mode": "select doc_id, ' ' || replace(text, chr(10), '</s>') as joined from documents where text is not null",
     "byte_alphabet_words": f"select word, array_to_string({sql_bytes('word')}, '') as shown from (select distinct unnest({SQL_WORDS}) as word from documents)",
@@ -219,13 +232,16 @@ SQL = {
     """,
     "json_harvest": "select doc_id, text || '***' || chr(10) || coalesce(title, '') as joined from documents where text is not null",
     "json_join": "select path, string_agg(text, ' ' order by line_no, text) as joined from (select distinct path, line_no, text from encode_lines where text is not null) group by path",
+    "read_corpus": """
+        select path || '[' || n || ']' as path, n as line_no, text from (
+            select path, text, row_number() over (partition by path order by line_no, text) - 1 as n from (select distinct path, line_no, text from encode_lines where text is not null))
+    """,
+    "list_corpus": r"select path, sum(octet_length(encode(to_json({'text': text}))) + 1)::bigint as size from (select distinct path, line_no, text from encode_lines where text is not null) group by path",
     "list_objects": f"select distinct bucket, {_KEY} as key from path_infos where not dir and starts_with({_KEY}, 'feeds/') and (ends_with({_KEY}, '.txt') or ends_with({_KEY}, '.jsonl'))",
     "newest_text": "select path from path_infos where not dir and mod_time is not null and (ends_with(path, '.txt') or ends_with(path, '.md') or ends_with(path, '.jsonl')) order by mod_time desc, path desc limit 1",
     "newest_directory": "select path from path_infos where dir and mod_time is not null order by mod_time desc, path desc limit 1",
-    "files_by_size": "select distinct path, size from path_infos where size is not null order by size desc, path limit 100",
-    "files_by_path": "select distinct path from path_infos order by path limit 100",
-    "files_all_by_size": "select distinct path, size from path_infos order by size desc nulls last, path",
-    "files_all_by_path": "select distinct path from path_infos order by path",
+    "files_by_size": "select distinct path, size from path_infos order by size desc nulls last, path",
+    "files_by_path": "select distinct path from path_infos order by path",
     "files_shuffled": "select distinct listing_id, path from path_infos",
     "size_rollup": "select lang, source, count(*) as n_docs, sum(n_chars)::bigint as n_chars, grouping_id(lang, source) as level from documents where text is not null group by rollup (lang, source)",
 }

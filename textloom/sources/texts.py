@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -108,7 +110,7 @@ def read_texts(spark: SparkSession, where: str, clean: bool = False, sort_spec:
     ranked = files.select(F.regexp_replace("path", r"^file:/+", "/").alias("p"), F.struct(*[c for c in _rank_values(sort_spec, seed)]).alias("rank")) if order else None
     named = plain.withColumn("p", F.regexp_replace("path", r"^file:/+", "/"))
     out = named.join(ranked, "p") if ranked is not None else named.withColumn("rank", F.struct(F.col("path").alias("by")))
-    root = where.replace("file://", "").rstrip("/")
+    root = re.sub(r"^file:/+", "/", where).rstrip("/")
     prefix = root if not root.endswith(SUFFIXES) else root.rsplit("/", 1)[0]
     short = F.when(F.startswith(F.col("p"), F.lit(prefix + "/")), F.substring(F.col("p"), len(prefix) + 2, 1 << 30)).otherwise(F.col("p"))
     name = F.when(F.col("line_no").isNull(), short).otherwise(F.concat(short, F.lit("["), F.col("line_no").cast("string"), F.lit("]")))
@@ -126,6 +128,46 @@ def _rank_values(spec: str | None, seed: int) -> list[Column]:
     return [F.col("path").alias("by"), F.col("path").alias("then")]
 
 
+def text_objects(objects: DataFrame, prefix: str = "") -> DataFrame:
+    """The rows of an object listing (a column ``key``) under a key prefix that are read as texts: .txt and .jsonl; Markdown is not."""
+    return objects.where(F.col("key").startswith(prefix) & (F.col("key").endswith(".txt") | F.col("key").endswith(".jsonl")))
+
+
+def write_lines(lines: DataFrame, folder: str) -> str:
+    """Writes the lines (path, line_no, line) of each path to a file of that path under a folder, in their order; returns the folder.
+
+    A file is written under a name of its own and then renamed, so a task that runs again leaves one whole file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, inside = fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+        path, sink, at, done = None, None, None, []
+
+        def finish() -> None:
+            sink.close()
+            system.create_dir(f"{inside}/{path}".rsplit("/", 1)[0])
+            system.move(at, f"{inside}/{path}")
+            done.append(path)
+
+        system.create_dir(inside)
+        for batch in batches:
+            for p, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if p != path:
+                    if sink:
+                        finish()
+                    path, at = p, f"{inside}/.{uuid.uuid4().hex}"
+                    sink = system.open_output_stream(at)
+                sink.write(f"{line}\n".encode())
+        if sink:
+            finish()
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["path"])
+
+    lines.repartition("path").sortWithinPartitions("path", "line_no", "line").select("path", "line").mapInArrow(run, "path string").count()
+    return folder
+
+
 def object_texts(spark: SparkSession, where: str, prefix: str = "", clean: bool = False) -> DataFrame:
     """(path, text) of an object store's .txt and .jsonl objects under a key prefix; Markdown is not read.
 
