@@ -109,7 +109,7 @@ def encode_cross_word(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Whole words of a vocabulary that ignores merges, with their ids.
-WHOLE_WORDS = {"Ġthe": 90_001, "Ġund": 90_002, "The": 90_003, "Ġit": 90_004}
+WHOLE_WORDS = {"Ġordered": 90_001, "Ġbattery": 90_002, "Delivery": 90_003, "Ġeuros": 90_004}
 
 
 def encode_whole_words(spark: SparkSession, d: str) -> DataFrame:
