@@ -97,6 +97,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 # The boundary test needs only the largest gap between cuts, which SQL can say; the pieces themselves,
 # look-alikes, encodings, packing, passages and languages are tested against brute force instead.
+_JOBS = r"""
+    newest as (
+        select job_id, context_size, coalesce(boundary_begin, false) as boundary_begin, greatest(coalesce(boundary_overlap, 0), 0) as overlap, nullif(replace(boundary, '\n', chr(10)), '') as b
+        from pack_jobs where job_id is not null
+        qualify row_number() over (partition by job_id order by updated_at desc nulls last, context_size desc) = 1
+    ), jobs as (
+        select n.job_id, n.context_size, n.boundary_begin, n.overlap, min(v.token) as token
+        from newest n left join vocab v on v.piece = n.b group by all
+    )
+"""
+
 SQL: dict[str, str] = {
     "p1_found": r"""
         with newest as (
@@ -117,4 +128,21 @@ SQL: dict[str, str] = {
             then 'at_boundary' else 'forced' end as kind
         from cut
     """,
+    "p1_pieces": f"""
+        with recursive {_JOBS}, base as (
+            select distinct t.text_id, t.tokens, len(t.tokens) as n, j.context_size as size, least(j.overlap, j.context_size - 1) as overlap, greatest(j.context_size - j.overlap, 1) as step,
+                list_filter(list_transform(list_filter(range(1, len(t.tokens) + 1), lambda i: t.tokens[i] = j.token), lambda i: case when j.boundary_begin then i - 1 else i end), lambda c: c > 0 and c < len(t.tokens)) as cuts
+            from token_docs t join jobs j using (job_id) where len(t.tokens) > 0
+        ), r(text_id, piece_no, pos, kind) as (
+            select text_id, 0, 0::bigint, 'start' from base
+            union all
+            select text_id, piece_no + 1, coalesce(c, pos + reach), case when c is null then 'forced' else 'at_boundary' end
+            from (select r.text_id, piece_no, pos, n, case when piece_no = 0 then size else step end as reach, list_max(list_filter(cuts, lambda x: x > pos and x <= pos + case when piece_no = 0 then size else step end)) as c from r join base using (text_id))
+            where pos + reach < n
+        ), piece as (
+            select text_id, piece_no, kind, tokens, case when piece_no = 0 then 0 else least(overlap, pos) end as n_overlap, pos, coalesce(lead(pos) over (partition by text_id order by piece_no), n) as "end" from r join base using (text_id)
+        )
+        select text_id, piece_no::int as piece_no, pos - n_overlap as "start", "end", ("end" - pos + n_overlap)::int as n_tokens, n_overlap::int as n_overlap, kind, array_to_string(list_slice(tokens, pos - n_overlap + 1, "end"), ' ') as tokens
+        from piece
+    """,
 }

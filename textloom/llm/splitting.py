@@ -178,9 +178,12 @@ def split_oversized(docs: DataFrame, jobs: DataFrame, vocab: DataFrame) -> DataF
 
     Pieces hold at most ``context_size`` tokens, overlap included; an overlap of the limit or more is
     cut to one token less. ``start`` and ``end`` are token positions, ``kind`` says how the piece
-    begins (start, at_boundary, forced). Repeated texts come out once; a text without tokens gives no
-    piece; null tokens inside a text stay and are no boundary.
+    begins (start, at_boundary, forced). Repeated texts come out once, of different ones with one id the
+    longest, then the largest; a text without tokens gives no piece; null tokens inside a text stay and
+    are no boundary.
     """
-    once = with_settings(docs, jobs, vocab).where(F.size("tokens") > 0).dropDuplicates(["text_id"])
-    needed = once.select("text_id", "tokens", "context_size", "boundary_token", "boundary_begin", "overlap")
+    names = ["tokens", "context_size", "boundary_token", "boundary_begin", "overlap"]
+    held = with_settings(docs, jobs, vocab).where(F.size("tokens") > 0)
+    once = held.groupBy("text_id").agg(F.max(F.struct(F.size("tokens").alias("n"), *names)).alias("v"))
+    needed = once.select("text_id", *[f"v.{c}" for c in names])
     return needed.mapInArrow(_pieces, PIECES)
