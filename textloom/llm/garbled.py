@@ -16,6 +16,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -63,6 +64,7 @@ _NON_ASCII = regex.compile(r"[^\x00-\x7f]+")
 _NON_ASCII_ONE = regex.compile(r"[^\x00-\x7f]")
 _CONTROL = regex.compile("[\x80-\x9f]")
 _SPLIT = regex.compile(r"[ \n\t\r]+")
+_DIGITS = regex.compile("[0-9]+")
 
 
 def _read_table(encoding: str) -> list[str]:
@@ -145,12 +147,33 @@ def _unlowered(run: str, encoding: str) -> str | None:
     return _strict(bytes(out), "utf-8") if not need else None
 
 
+class _Back(dict):
+    """What each character read in one single-byte encoding was in the other it was written in, for str.translate; a NUL where it can't be."""
+
+    def __init__(self, written: str, read: str):
+        super().__init__({k: chr(k) for k in range(128)})
+        for c, b in UNREADS[read].items():
+            if ord(c) > 127 and (before := _strict(bytes([b]), written)) is not None:
+                self[ord(c)] = before
+
+    def __missing__(self, code: int) -> str:
+        return "\0"
+
+
+_back_table = lru_cache(None)(_Back)
+
+
 def ungarble(word: str, chain: tuple[str, ...]) -> str | None:
     """The word before the chain, strictly decoded; None if the chain can't have made it.
 
     Of a chain with UTF-8, runs that don't decode are left as they stand if another one does, so that a
     word joined from a garbled and an intended part is still restored.
     """
+    if len(chain) == 2 and chain[0] != "utf-8":
+        if word.isascii():
+            return None
+        before = word.translate(_back_table(*chain))
+        return None if "\0" in before else before
     steps = list(chain)
     if chain[0] == "utf-8" and _LATER[chain[-2] if len(chain) % 2 else chain[-1]].isdisjoint(word):
         return None
@@ -286,16 +309,17 @@ class GarbleModel:
     def lossy_class(self, word: str) -> tuple[str, ...] | None:
         """The lossy chain that the classifier takes a word for rather than for clean text; None if for none that can have made it."""
         if "\ufffd" in word:
-            able = [REPLACED]
+            able = REPLACED
         elif "?" in word:
-            able = [MARKED]
+            able = MARKED
         elif not word.isascii() and all(c.isascii() or c in LEADS for c in word):
-            able = [STRIPPED]
+            able = STRIPPED
         else:
             return None
-        scores = self.table[:, features(word, marks=True)].sum(axis=1)
-        best = max((c for c in able if c in self.chains), key=lambda c: scores[self.chains.index(c)], default=None)
-        return best if best and scores[self.chains.index(best)] > scores[0] - LOSSY_MARGIN else None
+        if able not in self.chains:
+            return None
+        scores = self.table[[0, self.chains.index(able)]][:, features(word, marks=True)].sum(axis=1)
+        return able if scores[1] > scores[0] - LOSSY_MARGIN else None
 
     def lost_evidence(self, text: str) -> float:
         """Evidence that characters of a text are lost: that they were replaced, or that only the first byte of each is left.
@@ -407,17 +431,17 @@ class GarbleModel:
             # A single letter is evidence only if it is far more common; a single sign never is.
             tells = len(core(before)) >= 2 or (core(word).isalpha() and core(before).isalpha() and n >= 30 * (known + 1))
             evidence = np.log((n + 0.5) / (known + 1.0)) if n and tells and not self.disguised(word, n) else 0.0
-            open_chains[chain] = (before, max(0.0, float(evidence)), n)
+            open_chains[chain] = (before, max(0.0, float(evidence)), n, not usual(before))
         return rare or Verdict(None, None, open_chains)
 
 
 @dataclass
 class Verdict:
-    """The proven chain and the word before it; else the open chains, each with the word before, its evidence and count."""
+    """The proven chain and the word before it; else the open chains, each with the word before, its evidence and count, and whether it is no usual word."""
 
     chain: tuple[str, ...] | None
     before: str | None
-    open: dict[tuple[str, ...], tuple[str, float, int]] = field(default_factory=dict)
+    open: dict[tuple[str, ...], tuple[str, float, int, bool]] = field(default_factory=dict)
 
 
 class Repairer:
@@ -465,8 +489,8 @@ class Repairer:
             verdict = self.word(w)
             if verdict.chain:
                 proven[verdict.chain] += 1
-            for chain, (before, e, n) in verdict.open.items():
-                odd[chain] += not usual(before)
+            for chain, (_before, e, n, strange) in verdict.open.items():
+                odd[chain] += strange
                 if e > 0:
                     evidence[chain] += e
                     best[chain] = max(best[chain], n)
@@ -501,7 +525,7 @@ class Repairer:
 
         main = min(proven, key=lambda c: (-proven[c], c)) if proven else single
         # Beside characters that were restored only replacement characters are sure to be lost.
-        return True, _TOKEN.sub(fix, text), ">".join(main), any(self.model.lossy_class(w) == REPLACED for w in _TOKEN.findall(text))
+        return True, _TOKEN.sub(fix, text), ">".join(main), "\ufffd" in text and any(self.model.lossy_class(w) == REPLACED for w in _TOKEN.findall(text))
 
 
 _SUSPECT = regex.compile(f"[?\ufffd{LEADS}]")
@@ -510,7 +534,7 @@ _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 def marked_core(word: str) -> str:
     """A word as core() has it, but with its question marks."""
-    return regex.sub(r"[0-9]+", "0", word.strip(_PUNCTUATION.replace("?", "")).lower())
+    return _DIGITS.sub("0", word.strip(_PUNCTUATION.replace("?", "")).lower())
 
 
 def needs_count(chain: tuple[str, ...]) -> bool:
@@ -525,9 +549,10 @@ def counted_as(word: str) -> list[str]:
     return [f"c{c}" for c in (core(word),) if c] + ([f"m{marked}", f"l{lossy}"] if "?" in lossy else [])
 
 
+@lru_cache(1 << 16)
 def core(word: str) -> str:
     """A word without the ASCII punctuation around it, in lower case, all digits alike."""
-    return regex.sub(r"[0-9]+", "0", word.strip(_PUNCTUATION).lower())
+    return _DIGITS.sub("0", word.strip(_PUNCTUATION).lower())
 
 
 _TOKEN = regex.compile(r"[^ \n\t\r]+")
