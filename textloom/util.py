@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -26,8 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a single machine) is one made, and then it is also
-    set as the checkpoint folder of the context.
+    Only where the session names none and all of it runs in this process (tests, a single machine) is one
+    made, and then it is also set as the checkpoint folder of the context; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -36,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
         return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
     kept = getattr(spark.sparkContext, "_textloom_shared", None)
     if kept is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         kept = f"file://{tempfile.mkdtemp(prefix='textloom-')}"
         spark.sparkContext.setCheckpointDir(kept)
         spark.sparkContext._textloom_shared = kept
