@@ -6,6 +6,7 @@ merges SQL can still spell out.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import replace
 from functools import lru_cache
@@ -342,10 +343,10 @@ def boundary_tokens(spark: SparkSession, d: str) -> DataFrame:
     return _token_docs(spark, d).select("text_id", F.explode(contexts.boundary_positions("tokens", dot).cast("array<bigint>")).alias("at"))
 
 
-def _trimmed(function: Callable, *args) -> Callable[[SparkSession, str], DataFrame]:
+def _trimmed(function: Callable, *args, spec: Callable[[], TokenizerSpec] = gpt2) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        held = _docs(spark, d).select("doc_id", encode("text", gpt2()).alias("t"))
-        return held.select("doc_id", decode(function("t", gpt2(), *args), gpt2()).alias("text"))
+        held = _docs(spark, d).select("doc_id", encode("text", spec()).alias("t"))
+        return held.select("doc_id", decode(function("t", spec(), *args), spec()).alias("text"))
 
     return run
 
@@ -381,8 +382,8 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 QUERIES = {f.__name__: f for f in (encode_gpt2, encode_mini, encode_mini_dictionary, encode_enclosed, encode_specials, encode_cross_word, encode_whole_words, encode_buffer, token_count_by_lang, token_histogram, token_counts_sql, explode_sql, decode_lines, decode_token_docs, roundtrip_gpt2, retokenize_docs, retokenize_padded, tokens_ready, token_debts, lookup_words, show_pieces, exclude_tokens, merge_table, merge_entries, id_merges, convert_pieces, tokens_u16, tokens_u32, tokens_from_binary, decode_binary, vocab_file, token_files, token_index, document_index, document_places, pack_fixed, pack_boundary, pack_begin, pack_overlap, pack_steps, pack_documents_gpt2, context_index, sample_80, sample_50, shuffle, pad_tokens, boundary_tokens, streaming_encode, streaming_pack)} | {
-    "trim_newlines_top": _trimmed(trimming.trim_newlines, "top", 40),
-    "trim_newlines_bottom": _trimmed(trimming.trim_newlines, "bottom", 40),
+    "trim_newlines_top": _trimmed(trimming.trim_newlines, "top", 150, spec=mini),
+    "trim_newlines_bottom": _trimmed(trimming.trim_newlines, "bottom", 150, spec=mini),
     "trim_sentences_top": _trimmed(trimming.trim_sentences, "top", 40),
     "trim_sentences_bottom": _trimmed(trimming.trim_sentences, "bottom", 40),
     "trim_incomplete_sentence": _trimmed(trimming.trim_incomplete_sentence),
@@ -450,10 +451,24 @@ def sql_queries() -> dict[str, str]:
             select shard, context_no, start, (512 - len(c))::int as n_pad, array_to_string(list_resize(c, 512, p), ' ') as tokens
             from (select shard, context_no, start, list_slice(t, start + 1, start + 512) as c from r join stream using (shard)), pad"""
 
+    def trimmed(line: str, order: str) -> str:
+        """Whole lines, spelt as ``line``, of at most 150 tokens together."""
+        own = re.sub(r"\b(vocab_map|dw|enc|word|tok|doc)\b", r"\1_l", in_parts)
+        return f"""
+            with cut as (select doc_id, string_split(text, chr(10)) as lines from documents where text is not null),
+            src as (select doc_id * 100000 + k as part_id, doc_id, k, {line} as text from (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as k from cut)),
+            {own}, {encoded},
+            summed as (select src.doc_id, k, text, sum(len(t)) over (partition by src.doc_id order by k {order}) as n from src join doc_l using (part_id)),
+            kept as (select doc_id, string_agg(text, '' order by k) filter (n <= 150) as part from summed group by doc_id)
+            select d.doc_id, case when len(doc.t) <= 150 then d.text else coalesce(part, '') end as text
+            from documents d join doc using (doc_id) join kept using (doc_id) where d.text is not null"""
+
     inside = "list_filter(b, lambda x: x > start and x < start + 512)"
     nearest = f"list_min(list_transform({inside}, lambda x: abs(x - start - 400) * 100000000000 + x)) % 100000000000"
     return {
         "encode_mini": mini_tokens,
+        "trim_newlines_top": trimmed("chr(10) || line", "desc"),
+        "trim_newlines_bottom": trimmed("line || chr(10)", "asc"),
         "encode_specials": f"""
             with cut as (select doc_id, {parts} as parts, text from documents where text is not null),
             src as (select doc_id * 100000 + k as part_id, doc_id, k, len(parts) as n, text from (select doc_id, parts, unnest(parts) as text, generate_subscripts(parts, 1) as k from cut)),
@@ -466,7 +481,7 @@ def sql_queries() -> dict[str, str]:
         "retokenize_padded": f"with src as (select distinct text_id, text from token_docs where tokens is not null), {from_texts} select text_id, array_to_string(list_resize(list_slice(t, 1, {border('t', 200)}), 200, {spec.pad_token}), ' ') as tokens from doc",
         "decode_binary": "select distinct text_id, text from token_docs where tokens is not null",
         "vocab_file": "select piece, token from vocab",
-        "token_index": f"with fixed as ({fixed}) select shard, context_no, 512 as n_tokens, tokens from fixed where context_no % 5 < 4",
+        "token_index": f"with fixed as ({fixed}) select shard, context_no, 512::bigint as n_tokens, tokens from fixed where context_no % 5 < 4",
         "document_places": f'with i as (select (text_id // {SHARD_IDS})::int as shard, text_id, (coalesce(sum(len(tokens)) over (partition by text_id // {SHARD_IDS} order by text_id rows between unbounded preceding and 1 preceding), 0))::bigint as "offset", len(tokens) as tokens from {texts}), n as (select shard, max("offset" + tokens) as total from i group by shard) select shard, text_id, "offset", tokens, least("offset" // 512, (total - 1) // 512) as context_no, "offset" - 512 * least("offset" // 512, (total - 1) // 512) as at from i join n using (shard)',
         "pack_begin": recurrence(f"coalesce(list_max({inside}), start + 512)"),
         "pack_overlap": recurrence(f"coalesce({nearest} + 1, start + 512)"),
