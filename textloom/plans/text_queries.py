@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from textloom.functions import splitting, text
 from textloom.functions.splitting import PATTERN
 from textloom.operators.ordering import newest, sort_files
 from textloom.sources.texts import TEXT_JOIN, json_texts, list_texts, object_texts, read_texts, text_objects, write_lines
-from textloom.util import scratch_path, table
+from textloom.util import drop_path, scratch_path, table
 
 
 def quoted(s: str) -> str:
@@ -107,29 +109,51 @@ def json_harvest(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.array_join(json_texts(line), TEXT_JOIN).alias("joined"))
 
 
-def _corpus(spark: SparkSession, d: str) -> str:
-    """The lines of the table as JSON-lines files of their paths, in the shared folder; returns the folder."""
-    folder = scratch_path(spark, "corpus")
-    lines = table(spark, d, "encode_lines").where("text is not null").select("path", "line_no", F.to_json(F.struct("text")).alias("line")).distinct()
-    return write_lines(lines, folder)
+#: Files that lie in the shared folder at once, about. Each takes a block of the disk, however short it is.
+PART_FILES = 100_000
+
+
+def _corpus(spark: SparkSession, d: str, read: Callable[[str], DataFrame], schema: str) -> DataFrame:
+    """What ``read`` makes of a folder with the lines of the table as JSON-lines files of their paths.
+
+    All paths are written and read, in parts of about PART_FILES of them; the files of a part are deleted when what
+    was read of them is kept.
+    """
+    lines = table(spark, d, "encode_lines").where("text is not null").select("path", "line_no", F.to_json(F.struct("text")).alias("line"))
+    n_paths = lines.agg(F.approx_count_distinct("path")).first()[0]
+    n_parts, parts = -(-n_paths // PART_FILES), [lines.distinct()]
+    if n_parts > 1:
+        # By path, so that a task holds lines of one part and equal lines meet there.
+        each = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // n_parts)
+        dealt = lines.repartition(n_parts * each, "path").distinct().withColumn("part", F.pmod(F.hash("path"), F.lit(n_parts)))
+        dealt.write.partitionBy("part").parquet(kept := scratch_path(spark, "lines"))
+        held = spark.read.parquet(kept)
+        parts = [held.where(F.col("part") == r.part) for r in held.select("part").distinct().collect()]
+    out = scratch_path(spark, "read")
+    for part in parts if n_paths else []:
+        # Of lines with one number the lesser text is the first; spelt as JSON they may be in another order.
+        folder = write_lines(part, scratch_path(spark, "corpus"), (F.col("line_no").asc_nulls_last(), F.get_json_object("line", "$.text")))
+        read(folder).write.mode("append").parquet(out)
+        drop_path(spark, folder)
+    return spark.read.schema(schema).parquet(out) if n_paths else spark.createDataFrame([], schema)
 
 
 def json_join(spark: SparkSession, d: str) -> DataFrame:
     """The objects of a store under a key prefix, one text each: written as files, read back."""
-    folder = _corpus(spark, d)
-    found = object_texts(spark, folder)
-    return found.select(_inside(folder).alias("path"), F.col("text").alias("joined"))
+    read = lambda folder: object_texts(spark, folder).select(_inside(folder).alias("path"), F.col("text").alias("joined"))
+    return _corpus(spark, d, read, "path string, joined string")
 
 
 def read_corpus(spark: SparkSession, d: str) -> DataFrame:
     """The documents of a folder of JSON-lines files, each line one."""
-    return read_texts(spark, _corpus(spark, d)).select("path", F.col("line_no"), "text")
+    read = lambda folder: read_texts(spark, folder).select("path", "line_no", "text")
+    return _corpus(spark, d, read, "path string, line_no long, text string")
 
 
 def list_corpus(spark: SparkSession, d: str) -> DataFrame:
     """The text files under a folder with their sizes, the largest first."""
-    folder = _corpus(spark, d)
-    return sort_files(list_texts(spark, folder), "size_descending").select(_inside(folder).alias("path"), "size")
+    read = lambda folder: list_texts(spark, folder).select(_inside(folder).alias("path"), "size")
+    return sort_files(_corpus(spark, d, read, "path string, size long"), "size_descending")
 
 
 def _inside(folder: str) -> Column:

@@ -15,10 +15,100 @@ from pyspark.sql.window import Window
 
 from textloom.functions.text import sanitize, split_location
 from textloom.operators.ordering import sort_columns
+from textloom.util import materialize
 
 SUFFIXES = (".txt", ".md", ".jsonl")
 #: What stands between several texts of one JSON line.
 TEXT_JOIN = "***\n"
+#: Bytes of a file of lines that are read at once; several tasks share a larger one.
+PIECE = 16 << 20
+#: Files and bytes that a task reads, about.
+TASK_FILES, TASK_BYTES = 10_000, 128 << 20
+#: Bytes that fill an Arrow batch.
+BATCH_BYTES = 4 << 20
+
+
+def _system(uri: str):
+    """The file system of a URI, and the path in it; names stand in the URI as they are, not encoded."""
+    from pyarrow import fs
+
+    scheme, host, path = re.fullmatch(r"(?s)([A-Za-z0-9+.-]+):(?://([^/]*))?(/.*)?", uri).groups()
+    if scheme == "file":
+        return fs.LocalFileSystem(), path or "/"
+    system, top = fs.FileSystem.from_uri(f"{scheme.replace('s3a', 's3')}://{host or ''}/")
+    return system, (top.rstrip("/") + (path or "")).rstrip("/") or "/"
+
+
+def _walk(suffixes: tuple[str, ...], down: bool):
+    """For mapInArrow: what lies in the folders of each batch, or the files named there; ``down``: below them, too.
+
+    Files without content are left out, and so is what is hidden, as Spark's readers do.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        def rows(todo: list[str], named: bool) -> Iterator[tuple]:
+            while todo:
+                uri = todo.pop()
+                system, path = _system(uri)
+                top = system.get_file_info(path) if named else None
+                for f in [top] if top and top.is_file else system.get_file_info(fs.FileSelector(path)):
+                    name, at = f.base_name, uri if f is top else f"{uri.rstrip('/')}/{f.base_name}"
+                    if f is not top and (name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)):
+                        continue
+                    if f.type == fs.FileType.Directory:
+                        if down:
+                            todo.append(at)
+                        else:
+                            yield at, None, None, True
+                    elif f.size and name.endswith(suffixes):
+                        yield at, f.size, f.mtime_ns and f.mtime_ns // 1000, False
+
+        def packed(held: list[tuple]) -> pa.RecordBatch:
+            path, size, mod_time, is_dir = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(size, pa.int64()), pa.array(mod_time, pa.timestamp("us", "UTC")), pa.array(is_dir, pa.bool_())], ["path", "size", "mod_time", "dir"])
+
+        held: list[tuple] = []
+        for batch in batches:
+            for uri, named in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for row in rows([uri], named):
+                    held.append(row)
+                    if len(held) >= 10_000:
+                        yield packed(held)
+                        held = []
+        if held:
+            yield packed(held)
+
+    return run
+
+
+def _list_files(spark: SparkSession, where: str | list[str], suffixes: tuple[str, ...]) -> DataFrame:
+    """(path, size, mod_time, dir) of the files with these suffixes under folders, or named themselves.
+
+    Tasks list the folders, level by level until there are enough for all cores to walk down from, and write what
+    they find to the shared folder; the driver holds no file, however many there are.
+    """
+    paths, jvm = [], spark.sparkContext._jvm.org.apache.hadoop.fs
+    for w in [where] if isinstance(where, str) else where:
+        asked = jvm.Path(w)
+        system = asked.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = system.globStatus(system.makeQualified(asked))
+        if not found:
+            raise ValueError(f"no file or folder {w}")
+        paths += [f.getPath().toString() for f in found]
+    cores, levels = spark.sparkContext.defaultParallelism, []
+    folders, n, named = spark.createDataFrame([(p,) for p in paths], "path string"), len(paths), True
+    while n:
+        down = n >= 4 * cores
+        dealt = folders.select("path", F.lit(named).alias("named")).repartition(min(n, 8 * cores))
+        levels.append(materialize(dealt.mapInArrow(_walk(suffixes, down), "path string, size long, mod_time timestamp, dir boolean"), "listing"))
+        folders, named = levels[-1].where("dir"), False
+        n = 0 if down else folders.count()
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out.where("not dir")
 
 
 def list_texts(spark: SparkSession, where: str | list[str], suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
@@ -36,6 +126,10 @@ def list_texts(spark: SparkSession, where: str | list[str], suffixes: tuple[str,
     return found
 
 
+def _of_suffix(files: DataFrame, *suffixes: str) -> DataFrame:
+    return files.where(" or ".join(f"endswith(path, '{s}')" for s in suffixes))
+
+
 def harvest(value) -> list[str]:
     """All strings under a key ``text``, at any depth of objects and lists of objects, in the order they stand; ValueError for a ``text`` that is no string."""
     out: list[str] = []
@@ -72,19 +166,85 @@ def json_texts(line: str | Column) -> Column:
     return arrow_udf(run, "array<string>")(line)
 
 
+def _record_bytes(f, start: int, end: int, size: int) -> bytes:
+    """The records, each ended by a line feed, that begin from start to end."""
+    f.seek(max(start - 1, 0))
+    data = f.read(end - max(start - 1, 0))
+    if start:
+        data = data[data.find(b"\n") + 1 :] if b"\n" in data else b""
+    if not data or data.endswith(b"\n") or end >= size:
+        return data
+    parts = [data]
+    while more := f.read(1 << 16):
+        parts.append(more[: more.find(b"\n") + 1] or more)
+        if parts[-1].endswith(b"\n"):
+            break
+    return b"".join(parts)
+
+
+def _read(pieces: DataFrame, whole: bool, skip: bool, n_tasks: int) -> DataFrame:
+    """(path, start, shift, lines) of pieces (path, size, start, end, shift) of files, read in tasks; ``whole``: the text as one line.
+
+    skip: files that can't be read are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed() -> pa.RecordBatch:
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], ["path", "start", "shift", "lines"])
+
+        held, n_bytes = [], 0
+        for batch in batches:
+            for path, size, start, end, shift in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                system, inside = _system(path)
+                try:
+                    with system.open_input_file(inside) as f:
+                        data = f.read() if whole else _record_bytes(f, start, end, size)
+                except OSError:
+                    if skip:
+                        continue
+                    raise
+                # Lines end as in Spark's text reader, and its byte order mark is none of the text.
+                lines = [data] if whole else (data if start else data.removeprefix(b"\xef\xbb\xbf")).splitlines()
+                held.append((path, start, shift, lines))
+                n_bytes += len(data) + len(path) + 16
+                if n_bytes > BATCH_BYTES:
+                    yield packed()
+                    held, n_bytes = [], 0
+        if held:
+            yield packed()
+
+    dealt = pieces.select("path", "size", "start", "end", "shift").repartition(n_tasks)
+    return dealt.mapInArrow(run, "path string, start long, shift long, lines array<binary>").withColumn("lines", F.col("lines").cast("array<string>"))
+
+
+def _pieces(files: DataFrame, whole: bool = False, skip: bool = False) -> tuple[DataFrame, bool]:
+    """(path, start, shift, lines) of listed files, shift being the lines before a piece; and whether each file is a single piece.
+
+    ``whole``: each file's text is one line.
+    """
+    n, n_bytes, most = files.agg(F.count("*"), F.sum("size"), F.max("size")).first()
+    n_tasks = max(min(n, files.sparkSession.sparkContext.defaultParallelism), -(-n // TASK_FILES), -(-(n_bytes or 0) // TASK_BYTES), 1)
+    first = F.lit(0).cast("long")
+    if whole or not n or most <= PIECE:
+        return _read(files.withColumns({"start": first, "end": F.col("size"), "shift": first}), whole, skip, n_tasks), True
+    starts = files.select("path", "size", F.explode(F.sequence(first, F.col("size") - 1, F.lit(PIECE).cast("long"))).alias("start"))
+    cut = starts.withColumns({"end": F.least(F.col("start") + PIECE, "size"), "shift": first})
+    # Of large files the lines are counted first: only the counts meet, lines stay in the tasks that read them.
+    counts = materialize(_read(cut.where(f"size > {PIECE}"), False, skip, n_tasks).select("path", "start", F.size("lines").alias("n")), "lines")
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    shifted = cut.drop("shift").join(counts.select("path", "start", before.alias("before")), ["path", "start"], "left").withColumn("shift", F.coalesce("before", first))
+    return _read(shifted, False, skip, n_tasks), False
+
+
 def numbered_lines(spark: SparkSession, where: str | list[str], suffix: str = ".jsonl") -> DataFrame:
     """(path, line_no, line) of the lines of files, numbered from 0; the last line counts with or without its newline.
 
-    A file is read in splits; lines are numbered within their split, and splits are shifted by the lines
-    before them, so one file of any size is numbered by many tasks.
+    A large file is read in pieces; lines are numbered within their piece, and pieces are shifted by the lines
+    before them, so one file of any size is numbered by many tasks. A task reads many small files.
     """
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").text(where)
-    held = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    sizes = held.groupBy("path", "block").agg(F.count("*").alias("n"))
-    shift = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("path", "block", shift.alias("shift"))
-    inside = held.withColumn("k", F.row_number().over(Window.partitionBy("path", "block").orderBy("at")) - 1)
-    return inside.join(starts, ["path", "block"]).select("path", (F.col("shift") + F.col("k")).alias("line_no"), "line")
+    pieces = _pieces(_list_files(spark, where, (suffix,)))[0]
+    return pieces.select("path", "shift", F.posexplode("lines").alias("k", "line")).select("path", (F.col("shift") + F.col("k")).alias("line_no"), "line")
 
 
 def read_texts(spark: SparkSession, where: str, clean: bool = False, sort_spec: str | None = "none", seed: int = 0) -> DataFrame:
@@ -133,7 +293,7 @@ def text_objects(objects: DataFrame, prefix: str = "") -> DataFrame:
     return objects.where(F.col("key").startswith(prefix) & (F.col("key").endswith(".txt") | F.col("key").endswith(".jsonl")))
 
 
-def write_lines(lines: DataFrame, folder: str) -> str:
+def write_lines(lines: DataFrame, folder: str, order: tuple[str | Column, ...] = ("line_no", "line")) -> str:
     """Writes the lines (path, line_no, line) of each path to a file of that path under a folder, in their order; returns the folder.
 
     A file is written under a name of its own and then renamed, so a task that runs again leaves one whole file.
@@ -164,7 +324,7 @@ def write_lines(lines: DataFrame, folder: str) -> str:
             finish()
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["path"])
 
-    lines.repartition("path").sortWithinPartitions("path", "line_no", "line").select("path", "line").mapInArrow(run, "path string").count()
+    lines.repartition("path").sortWithinPartitions("path", *order).select("path", "line").mapInArrow(run, "path string").count()
     return folder
 
 
@@ -174,10 +334,15 @@ def object_texts(spark: SparkSession, where: str, prefix: str = "", clean: bool
     A .jsonl object is one document: the top-level texts of its lines, joined by a space. Objects that
     can't be read are skipped.
     """
-    held = spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
-    plain = held.format("text").option("wholetext", True).option("pathGlobFilter", "*.txt").load(where).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    lines = numbered_lines(spark, where).withColumn("text", F.get_json_object("line", "$.text")).where("text is not null")
-    joined = lines.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x.text), " ").alias("text"))
+    files = _list_files(spark, where, (".txt", ".jsonl"))
+    plain = _pieces(_of_suffix(files, ".txt"), whole=True, skip=True)[0].select("path", F.col("lines")[0].alias("text"))
+    pieces, single = _pieces(_of_suffix(files, ".jsonl"), skip=True)
+    texts = F.filter(F.transform("lines", lambda x: F.get_json_object(x, "$.text")), lambda x: x.isNotNull())
+    joined = pieces.select("path", "shift", texts.alias("texts")).where("size(texts) > 0").select("path", "shift", F.array_join("texts", " ").alias("text"))
+    if single:
+        joined = joined.select("path", "text")
+    else:
+        joined = joined.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("shift", "text"))), lambda x: x.text), " ").alias("text"))
     out = plain.unionByName(joined)
     if prefix:
         out = out.where(split_location("path")["key"].startswith(prefix))

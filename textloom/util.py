@@ -92,11 +92,16 @@ def spread(df: DataFrame) -> DataFrame:
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes what the operators of this session wrote to the shared folder; results not yet consumed can't be read afterwards."""
     for path in _WRITTEN:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        drop_path(spark, path)
     _WRITTEN.clear()
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers of a session, once; needed where it is not installed on them.
 
