@@ -70,3 +70,29 @@ def test_json_join_by_parts(spark, table, monkeypatch, part_files):
 
 def test_json_join_without_lines(spark, table):
     assert same_as_sql(spark, "json_join", table([("a", 1, None)]), "path, joined") == []
+
+
+def test_driver_holds_no_file_of_texts(spark, tmp_path):
+    where = many(tmp_path)
+    (tmp_path / "m1" / "n.md").write_text("# n")
+    (tmp_path / "odd %20+name.txt").write_text("odd")
+    for found in (texts.list_texts(spark, where), texts.read_texts(spark, where, sort_spec="size_descending")):
+        assert not [f for f in found.inputFiles() if f.endswith(texts.SUFFIXES)]
+    assert texts.list_texts(spark, where).count() == 122
+    got = {r.path: r.text for r in texts.read_texts(spark, where, sort_spec="size_descending").collect()}
+    assert len(got) == 242 and got["m1/n.md"] == "# n" and got["odd %20+name.txt"] == "odd" and got["m39/79.jsonl[0]"] == "79"
+
+
+@pytest.mark.parametrize("part_files", [3, 100_000])
+def test_read_corpus_by_parts(spark, table, monkeypatch, part_files):
+    monkeypatch.setattr(text_queries, "PART_FILES", part_files, raising=False)
+    before, d = held(spark), table(LINES)
+    assert len(same_as_sql(spark, "list_corpus", d, "path, size")) == 21
+    wanted = same_as_sql(spark, "read_corpus", d, "path, line_no, text")
+    assert wanted[:2] == [("d/a.jsonl[0]", 0, "a"), ("d/a.jsonl[1]", 1, "a b")] and len(wanted) == 66
+    assert held(spark) == before
+
+
+@pytest.mark.parametrize("name, columns", [("read_corpus", "path, line_no, text"), ("list_corpus", "path, size")])
+def test_corpus_without_lines(spark, table, name, columns):
+    assert same_as_sql(spark, name, table([("a", 1, None)]), columns) == []

@@ -101,7 +101,7 @@ def _list_files(spark: SparkSession, where: str | list[str], suffixes: tuple[str
     folders, n, named = spark.createDataFrame([(p,) for p in paths], "path string"), len(paths), True
     while n:
         down = n >= 4 * cores
-        dealt = folders.select("path", F.lit(named).alias("named")).repartition(min(n, 8 * cores))
+        dealt = folders.select("path", F.lit(named).alias("named")).repartition(min(n, 2 * cores))
         levels.append(materialize(dealt.mapInArrow(_walk(suffixes, down), "path string, size long, mod_time timestamp, dir boolean"), "listing"))
         folders, named = levels[-1].where("dir"), False
         n = 0 if down else folders.count()
@@ -116,11 +116,7 @@ def list_texts(spark: SparkSession, where: str | list[str], suffixes: tuple[str,
 
     ValueError if there is none.
     """
-    glob = "*{" + ",".join(suffixes) + "}"
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if not (isinstance(where, str) and where.endswith(suffixes)):
-        reader = reader.option("pathGlobFilter", glob)
-    found = reader.load(where).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mod_time"), F.lit(False).alias("dir"))
+    found = _list_files(spark, where, suffixes)
     if found.isEmpty():
         raise ValueError(f"no text files under {where}")
     return found
@@ -237,14 +233,17 @@ def _pieces(files: DataFrame, whole: bool = False, skip: bool = False) -> tuple[
     return _read(shifted, False, skip, n_tasks), False
 
 
+def _numbered(files: DataFrame) -> DataFrame:
+    return _pieces(files)[0].select("path", "shift", F.posexplode("lines").alias("k", "line")).select("path", (F.col("shift") + F.col("k")).alias("line_no"), "line")
+
+
 def numbered_lines(spark: SparkSession, where: str | list[str], suffix: str = ".jsonl") -> DataFrame:
     """(path, line_no, line) of the lines of files, numbered from 0; the last line counts with or without its newline.
 
     A large file is read in pieces; lines are numbered within their piece, and pieces are shifted by the lines
     before them, so one file of any size is numbered by many tasks. A task reads many small files.
     """
-    pieces = _pieces(_list_files(spark, where, (suffix,)))[0]
-    return pieces.select("path", "shift", F.posexplode("lines").alias("k", "line")).select("path", (F.col("shift") + F.col("k")).alias("line_no"), "line")
+    return _numbered(_list_files(spark, where, (suffix,)))
 
 
 def read_texts(spark: SparkSession, where: str, clean: bool = False, sort_spec: str | None = "none", seed: int = 0) -> DataFrame:
@@ -254,16 +253,10 @@ def read_texts(spark: SparkSession, where: str, clean: bool = False, sort_spec:
     no text, are skipped but count. ``rank`` orders the documents by the sort specification over files.
     """
     files = list_texts(spark, where)
-    whole = spark.read.format("text").option("recursiveFileLookup", True).option("wholetext", True)
-    plain = None
-    if not where.endswith(".jsonl"):
-        glob = "*" if where.endswith(SUFFIXES) else "*{.txt,.md}"
-        plain = whole.option("pathGlobFilter", glob).load(where).select(F.col("_metadata.file_path").alias("path"), F.lit(None).cast("bigint").alias("line_no"), F.col("value").alias("text"))
-    if not where.endswith((".txt", ".md")):
-        lines = numbered_lines(spark, where)
-        texts = lines.withColumn("texts", json_texts("line")).where("size(texts) > 0")
-        parsed = texts.select("path", F.col("line_no").cast("bigint").alias("line_no"), F.array_join("texts", TEXT_JOIN).alias("text"))
-        plain = parsed if plain is None else plain.unionByName(parsed)
+    whole = _pieces(_of_suffix(files, ".txt", ".md"), whole=True)[0]
+    texts = _numbered(_of_suffix(files, ".jsonl")).withColumn("texts", json_texts("line")).where("size(texts) > 0")
+    parsed = texts.select("path", "line_no", F.array_join("texts", TEXT_JOIN).alias("text"))
+    plain = whole.select("path", F.lit(None).cast("bigint").alias("line_no"), F.col("lines")[0].alias("text")).unionByName(parsed)
     if clean:
         plain = plain.withColumn("text", sanitize("text"))
     order = sort_columns(sort_spec, seed)
@@ -303,11 +296,20 @@ def write_lines(lines: DataFrame, folder: str, order: tuple[str | Column, ...] =
         from pyarrow import fs
 
         system, inside = fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
-        path, sink, at, done = None, None, None, []
+        path, sink, at, done, made = None, None, None, [], set()
+
+        def begin() -> None:
+            nonlocal sink, at
+            # In the folder of the file: tasks that make and move all their files in one folder wait for each other.
+            within = f"{inside}/{path}".rpartition("/")[0]
+            if within not in made:
+                system.create_dir(within)
+                made.add(within)
+            at = f"{within}/.{uuid.uuid4().hex}"
+            sink = system.open_output_stream(at)
 
         def finish() -> None:
             sink.close()
-            system.create_dir(f"{inside}/{path}".rsplit("/", 1)[0])
             system.move(at, f"{inside}/{path}")
             done.append(path)
 
@@ -317,14 +319,15 @@ def write_lines(lines: DataFrame, folder: str, order: tuple[str | Column, ...] =
                 if p != path:
                     if sink:
                         finish()
-                    path, at = p, f"{inside}/.{uuid.uuid4().hex}"
-                    sink = system.open_output_stream(at)
+                    path = p
+                    begin()
                 sink.write(f"{line}\n".encode())
         if sink:
             finish()
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["path"])
 
-    lines.repartition("path").sortWithinPartitions("path", *order).select("path", "line").mapInArrow(run, "path string").count()
+    # In an order of the paths' hashes, so that tasks don't go through the same folders side by side and wait for each other.
+    lines.repartition("path").sortWithinPartitions(F.xxhash64("path"), "path", *order).select("path", "line").mapInArrow(run, "path string").count()
     return folder
 
 
